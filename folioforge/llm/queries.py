@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontamination as op1
+from folioforge.llm import language_id as op3
+from folioforge.llm import packing as op8
+from folioforge.llm import secrets as op5
 from folioforge.session import table
 
 
@@ -18,6 +21,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op3.predictions(table(spark, sf_dir, "documents"))
+    held = F.expr("coalesce(pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 5) = 0, false)")
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op5.findings(table(spark, sf_dir, "documents"))
+    joined = "array_join(transform({}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
+    return found.select(
+        "doc_id",
+        *(F.expr(f"CAST(size(filter(findings, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in op5.KINDS[:3]),
+        F.expr(f"sha2(CAST({joined.format("filter(findings, x -> x.kind <> 'novel')")} AS BINARY), 256)").alias("base_sha256"),
+        F.expr(joined.format("findings")).alias("spans"),
+    )
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.packed_documents(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and "_" in k and callable(v)}
 
