@@ -222,25 +222,25 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def verified_links(
-    items: DataFrame, make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int, most_items: int = 512, most_size: int = 500_000
+    members: DataFrame, payload: DataFrame, make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int, most_items: int = 512, most_size: int = 500_000
 ) -> DataFrame:
     """(u, v): links inside candidate groups, confirmed on full sets; their components are those of all links.
 
-    items: id long, grp long, size long (elements of its set), and whatever columns make_sets needs. A group that is small goes
-    to one task. A large one is cut by hash into blocks of about most_items items and most_size elements, and every pair of its blocks is
-    a task of its own, so no task holds more than two blocks, whatever the group's size; no pairs of items are ever emitted.
+    members: id long, grp long, size long (elements of the id's set). payload: id and the columns from which make_sets makes the
+    sets, read for the members only. A group that is small goes to one task. A large one is cut by hash into blocks of about
+    most_items items and most_size elements, and every pair of its blocks is a task of its own, so no task holds more than
+    two blocks, whatever the group's size; no pairs of items are ever emitted.
     """
-    payload = [c for c in items.columns if c not in ("id", "grp", "size")]
-    total = items.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z"))
+    columns = [c for c in payload.columns if c != "id"]
+    total = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z"))
     total = total.where("n > 1").select("grp", F.greatest(F.ceil(F.col("n") / most_items), F.ceil(F.col("z") / most_size)).cast("int").alias("blocks"))
-    x = items.join(total, "grp").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    x = members.join(total, "grp").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     # the pair of blocks i <= j is a task; a block is in one pair with each block
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    x = x.withColumn("lo", lo).withColumn("hi", hi).withColumn("task", F.xxhash64("grp", "lo", "hi"))
-    x = x.select("task", "grp", "lo", "hi", "mine", "id", *payload)
-    spark = items.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = x.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    x = x.select(F.xxhash64("grp", "lo", "hi").alias("task"), "grp", "lo", "hi", "mine", "id").join(payload, "id")
+    x = x.select("task", "grp", "lo", "hi", "mine", "id", *columns)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = x.repartition(parts, "task").sortWithinPartitions("task", "grp", "lo", "hi", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

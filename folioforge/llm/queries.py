@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import decontamination as op1
 from folioforge.llm import language_id as op3
+from folioforge.llm import minhash as op10
+from folioforge.llm import neighbours as op6
 from folioforge.llm import packing as op8
 from folioforge.llm import secrets as op5
 from folioforge.session import table
@@ -38,10 +40,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.packed_documents(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and "_" in k and callable(v)}
 
@@ -72,5 +82,37 @@ its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT i
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op10_minhash": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS sh
+  FROM d, unnest(generate_series(1, greatest(1, len(w) - 3))) AS g(i) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM both_ JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT DISTINCT u AS root, u AS node FROM e UNION SELECT root, v FROM reach JOIN e ON e.u = node),
+comp AS (SELECT root, min(node) AS c FROM reach GROUP BY root)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON root = d.doc_id
+""",
+    "op6_neighbours": """
+WITH e AS (
+  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id
+),
+n AS (SELECT vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) AS l FROM e),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b) / (q.l * c.l) AS score
+  FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
 """,
 }
