@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from folioforge.llm.tokens import ids_of
+from folioforge.llm.tokens import ids_of, packed
 
 #: Examples that the heuristic chooses among.
 WINDOW = 64
@@ -59,8 +59,6 @@ class Packer:
     def __init__(self, place: Callable[[Example, int, int, int, int], None], limits: Limits, cut: bool = True, window: int = WINDOW):
         self.place, self.limits, self.cut, self.window = place, limits, cut, window
         self.pool: list[Example] = []
-        self.sizes = np.zeros((0, 2))
-        self.grown = False
         self.sequence = 0
         self.open: list[tuple[Example, int, int]] = []  # example, start, length
         self.left = [limits.tokens, limits.segments, limits.loss]
@@ -163,7 +161,7 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None, end_id:
 
     def examples(batches: Iterable[pa.RecordBatch]) -> Iterator[Example]:
         encode = ids_of(tokenizer)
-        end = encode.packed([end_id])
+        end = packed([end_id])
         for b in batches:
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encode.of(text) + end

@@ -9,8 +9,7 @@ the result with the tokenizer's own on whole texts.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import struct
 
 NAME = "word_bpe_49k.json"
 
@@ -26,10 +25,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Pieces(dict):
+    """Lower-case piece -> its ids, packed. A cache: emptied when it holds too many."""
+
+    def __init__(self, model, limit: int):
+        self.model, self.limit, self.letters = model, limit, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = packed([t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))])
+        if len(self) >= self.limit:
+            self.clear()
+        if len(piece) <= 32:
+            self[piece] = ids
+        return ids
+
+
 class Ids(dict):
     """Chunk without white space -> its ids, packed. A cache: emptied when it holds too many."""
 
-    def __init__(self, path: str | None = None, limit: int = 600_000):
+    def __init__(self, path: str | None = None, limit: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,42 +54,40 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.limit, self.letters = self.whole.model, limit, byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.limit, self.pieces = limit, Pieces(self.whole.model, limit)
 
     def __missing__(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            ids = b"".join(map(self.piece, _PIECE.findall(chunk.lower())))
+        pieces = self.pieces
+        if chunk.isascii() and chunk[:-1].isalpha() and chunk.isprintable():  # a word, often with a mark after it
+            ids = pieces[chunk.lower()] if chunk[-1].isalpha() else pieces[chunk[:-1].lower()] + pieces[chunk[-1]]
+        elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            ids = b"".join(map(pieces.__getitem__, _PIECE.findall(chunk.lower())))
         else:
-            ids = self.packed(self.whole.encode(chunk, add_special_tokens=False).ids)
+            ids = packed(self.whole.encode(chunk, add_special_tokens=False).ids)
         if len(self) >= self.limit:
             self.clear()
         if len(chunk) <= 32:
             self[chunk] = ids
         return ids
 
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.packed([t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))])
-            if len(self.pieces) >= self.limit // 2:
-                self.pieces.clear()
-            if len(piece) <= 32:
-                self.pieces[piece] = ids
-        return ids
-
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
     def of(self, text: str | None) -> bytes:
         """Packed ids of a whole text; none for null."""
         if not text:
             return b""
+        if "<|" not in text:  # special tokens are told by their case
+            try:
+                text.encode("latin-1")  # in this range lower-casing is the same everywhere
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         # only these two are cut at; any other white space stays in its chunk, which the tokenizer then sees
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _LOADED: dict[str | None, Ids] = {}
 
 
