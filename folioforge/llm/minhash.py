@@ -42,6 +42,13 @@ def shingle_set(text: bytes | None, ids: WordIds, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(ids.of(word_list(text)), size))
 
 
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 class MinMax:
     """Signatures: per permutation the minimum and the maximum of the permuted 32-bit shingles."""
 
@@ -59,14 +66,15 @@ class MinMax:
         h = (shingles >> U64(32)).astype(np.uint32)[None, :]
         low = high = None
         for at in range(0, h.shape[1], self.CHUNK):
-            x = (h[:, at : at + self.CHUNK] ^ self.salt) * self.odd
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            x ^= x >> np.uint32(16)
+            x = _scrambled((h[:, at : at + self.CHUNK] ^ self.salt) * self.odd)
             a, b = x.min(axis=1), x.max(axis=1)
             low, high = (a, b) if low is None else (np.minimum(low, a), np.maximum(high, b))
         return low, high
 
+    def permuted(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        """32-bit shingles of any shape under each permutation."""
+        return (_scrambled((h ^ salt) * odd) for salt, odd in zip(self.salt[:, 0], self.odd[:, 0], strict=True))
+
     def bands(self, shingles: np.ndarray) -> np.ndarray:
         """Keys of the bands, the first half from minima, the rest from maxima; a key names its band, too."""
         low, high = self.signature(shingles)

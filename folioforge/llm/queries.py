@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import decontamination as op1
 from folioforge.llm import language_id as op3
+from folioforge.llm import licences as op7
 from folioforge.llm import minhash as op10
 from folioforge.llm import neighbours as op6
 from folioforge.llm import packing as op8
+from folioforge.llm import paragraphs as op4
+from folioforge.llm import quotations as op9
 from folioforge.llm import secrets as op5
+from folioforge.llm import token_counts as op2
 from folioforge.session import table
 
 
@@ -23,12 +27,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op2.document_lengths(op2.token_blocks(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.col("tokens").alias("n_tokens"), "file", "document", "start")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op3.predictions(table(spark, sf_dir, "documents"))
     held = F.expr("coalesce(pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 5) = 0, false)")
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op5.findings(table(spark, sf_dir, "documents"))
     joined = "array_join(transform({}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
@@ -44,10 +57,18 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.licences(table(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.packed_documents(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op9_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
