@@ -142,8 +142,8 @@ b AS (SELECT book, CAST(sum(n) AS BIGINT) AS segments, CAST(coalesce(sum(tokens)
 t AS (SELECT *, source_tokens * {reads} AS tokens_in, CAST(trunc(source_tokens * 1.1::DOUBLE) AS BIGINT) * {writes} AS tokens_out FROM b),
 m AS (SELECT *, CAST(trunc(tokens_in * {cost.NOTE_SHARE[density]}::DOUBLE) AS BIGINT) AS k FROM t),
 a AS (SELECT *, CAST(tokens_in // 3 + k * 5 AS BIGINT) AS note_tokens_in, CAST(k + k // 3 AS BIGINT) AS note_tokens_out FROM m)
-SELECT book, segments, source_tokens, tokens_in, tokens_out, round((tokens_in * {pin}::DOUBLE + tokens_out * {pout}::DOUBLE) / 1e6::DOUBLE, 6) AS usd,
-  note_tokens_in, note_tokens_out, round((note_tokens_in * {pin}::DOUBLE + note_tokens_out * {pout}::DOUBLE) / 1e6::DOUBLE, 6) AS note_usd FROM a"""
+SELECT book, segments, source_tokens, tokens_in, tokens_out, (tokens_in * {pin}::DOUBLE + tokens_out * {pout}::DOUBLE) / 1e6::DOUBLE AS usd,
+  note_tokens_in, note_tokens_out, (note_tokens_in * {pin}::DOUBLE + note_tokens_out * {pout}::DOUBLE) / 1e6::DOUBLE AS note_usd FROM a"""
 
 
 @query(_cost_sql("sentence", "medium", "gpt-4o-mini"))
@@ -162,12 +162,12 @@ _RATE = [" ".join(["CASE", *(f"WHEN contains(model, '{p[0]}') THEN {p[k]}::DOUBL
 
 @query(
     f"""WITH m(model) AS (VALUES {', '.join(f"('{m}')" for m in MODELS)}), d AS (SELECT source AS book, CAST(sum(n_chars) AS BIGINT) AS n FROM documents GROUP BY 1)
-SELECT book, model, round((n * ({_RATE[0]}) + n // 2 * ({_RATE[1]})) / 1e6::DOUBLE, 6) AS usd FROM d, m"""
+SELECT book, model, (n * ({_RATE[0]}) + n // 2 * ({_RATE[1]})) / 1e6::DOUBLE AS usd FROM d, m"""
 )
 def model_prices(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("book")).agg(F.sum("n_chars").alias("n"))
     x = d.withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
-    return x.select("book", "model", F.round(cost.cost_usd(F.col("model"), F.col("n"), F.floor(F.col("n") / 2)), 6).alias("usd"))
+    return x.select("book", "model", cost.cost_usd(F.col("model"), F.col("n"), F.floor(F.col("n") / 2)).alias("usd"))
 
 
 # ---------------------------------------------------------------- batches and payloads

@@ -19,9 +19,9 @@ def estimate(segments: DataFrame, book: list[str], chapter: list[str], model: st
     x = t.groupBy(*book).agg(F.sum("segments").alias("segments"), F.coalesce(F.sum(F.when(~F.col("apparatus"), F.col("tokens"))), F.lit(0)).alias("source_tokens"))
     tin, tout = cost.estimated_tokens(F.col("source_tokens"), level)
     x = x.withColumn("tokens_in", tin).withColumn("tokens_out", tout)
-    x = x.withColumn("usd", F.round(cost.cost_usd(F.lit(model), F.col("tokens_in"), F.col("tokens_out")), 6))
+    x = x.withColumn("usd", cost.cost_usd(F.lit(model), F.col("tokens_in"), F.col("tokens_out")))
     if density is not None:
         nin, nout = cost.estimated_note_tokens(F.col("tokens_in"), density)
         x = x.withColumn("note_tokens_in", nin).withColumn("note_tokens_out", nout)
-        x = x.withColumn("note_usd", F.round(cost.cost_usd(F.lit(model), F.col("note_tokens_in"), F.col("note_tokens_out")), 6))
+        x = x.withColumn("note_usd", cost.cost_usd(F.lit(model), F.col("note_tokens_in"), F.col("note_tokens_out")))
     return x
