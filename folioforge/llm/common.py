@@ -43,6 +43,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker holds few Python copies of texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def texts_as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without a decode."""
     return column.cast(pa.binary()).to_pylist()
@@ -67,7 +74,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Word bytes -> 64-bit hash; emptied when it holds too many, as it is only a cache."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -271,4 +278,4 @@ def leader_edges(keys: DataFrame) -> DataFrame:
     return keys.join(lead, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
 
-__all__ = ["F", "W", "WordIds", "components", "group_stream", "leader_edges", "materialise", "mix64", "scratch_dir", "shingle_hashes", "spanning_links", "texts_as_bytes", "verified_links"]
+__all__ = ["F", "W", "WordIds", "components", "group_stream", "leader_edges", "materialise", "mix64", "scratch_dir", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from folioforge.llm.common import materialise, texts_as_bytes
+from folioforge.llm.common import materialise, slices, texts_as_bytes
 
 #: Upper bound of benchmark text for one automaton, in bytes; more text is scanned for in several passes.
 BLOCK_BYTES = 4_000_000
@@ -155,7 +155,7 @@ def _built(shared, window: int):
 def _pass(shared, window: int, keep: list[str], own: list[str], last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _built(shared, window)
-        for b in batches:
+        for b in slices(batches):
             text = b.column("text")
             known = "runs__" in b.schema.names
             old = b.column("runs__").to_pylist() if known else [()] * b.num_rows

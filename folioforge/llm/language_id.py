@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from folioforge.llm.common import texts_as_bytes
+from folioforge.llm.common import slices, texts_as_bytes
 
 GRAMS = (1, 2, 3, 4)
 #: n-grams are hashed to so many cells for each n (1 and 2 are exact).
@@ -132,7 +132,7 @@ def sample(documents: DataFrame, settings: Settings) -> DataFrame:
 
 def fit(documents: DataFrame, settings: Settings = Settings()) -> Model:
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = texts_as_bytes(b.column("text"))
             cells = [cells_of(t) if has_letter(t) else None for t in texts]
             made = [pa.array([c[k].tobytes() if c else None for c in cells], pa.binary()) for k in range(len(GRAMS))]
@@ -188,7 +188,7 @@ def predictions(documents: DataFrame, keep: list[str] | None = None, settings: S
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score = shared.value.predict(texts_as_bytes(b.column("text")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 

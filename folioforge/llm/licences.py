@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from folioforge.llm.common import U64, WordIds, mix64, texts_as_bytes
+from folioforge.llm.common import U64, WordIds, mix64, slices, texts_as_bytes
 from folioforge.llm.decontamination import normalised_words, original_spans
 
 THRESHOLD = 0.8
@@ -186,7 +186,7 @@ def licences(documents: DataFrame, keep: list[str] | None = None, threshold: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, known = WordIds(), built(threshold)
-        for b in batches:
+        for b in slices(batches):
             rows, made = [], []
             for i, raw in enumerate(texts_as_bytes(b.column("text"))):
                 found = known.matches(bigrams(ids.of(normalised_words(raw))))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import U64, WordIds, components, leader_edges, materialise, mix64, shingle_hashes, texts_as_bytes, verified_links
+from folioforge.llm.common import U64, WordIds, components, leader_edges, materialise, mix64, shingle_hashes, slices, texts_as_bytes, verified_links
 
 ROWS, BANDS = 6, 40
 PERMUTATIONS = ROWS * BANDS // 2
@@ -89,7 +89,7 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
         import xxhash
 
         ids, hashes = WordIds(), MinMax()
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b, bands = [], [], [], []
             for text in texts_as_bytes(batch.column("text")):
                 s = shingle_set(text, ids, size)

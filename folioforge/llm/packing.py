@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from folioforge.llm.common import slices
 from folioforge.llm.tokens import ids_of, packed
 
 #: Examples that the heuristic chooses among.
@@ -162,7 +163,7 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None, end_id:
     def examples(batches: Iterable[pa.RecordBatch]) -> Iterator[Example]:
         encode = ids_of(tokenizer)
         end = packed([end_id])
-        for b in batches:
+        for b in slices(batches):
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encode.of(text) + end
                 yield Example(key, len(ids) // 4, len(ids) // 4, ids)
@@ -216,7 +217,7 @@ def packed_examples(examples: DataFrame, limits: Limits = Limits(), cut: bool =
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for b in batches:
+        for b in slices(batches):
             for key, n, loss in zip(*(b.column(c).to_pylist() for c in ("example_id", "tokens", "loss_tokens")), strict=True):
                 if n:
                     packer.add(Example(key, n, min(loss or 0, n), None))

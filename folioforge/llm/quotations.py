@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from folioforge.llm.common import materialise
+from folioforge.llm.common import materialise, slices
 from folioforge.llm.decontamination import normalised_words
 
 #: Turns in a window of the as-of scan.
@@ -63,7 +63,7 @@ def unquoted(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), lines (hash, level, words; level 0 for its own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, lines = [], []
             for text in b.column("text").to_pylist():
                 own, quoted = parsed(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from folioforge.llm.common import texts_as_bytes
+from folioforge.llm.common import slices, texts_as_bytes
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Characters of surrounding text on each side that prime the dictionary.
@@ -133,7 +133,7 @@ def findings(documents: DataFrame, keep: list[str] | None = None, redact: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for b in batches:
+        for b in slices(batches):
             found, texts = [], b.column("text")
             changed = texts.to_pylist() if redact is not None else []
             for i, raw in enumerate(texts_as_bytes(texts)):

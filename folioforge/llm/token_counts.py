@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioforge.llm.common import materialise
+from folioforge.llm.common import materialise, slices
 from folioforge.llm.tokens import ids_of, packed
 
 #: Tokens in a block; blocks in a run. END is the first id after those of the vocabulary, so no text makes it.
@@ -50,7 +50,7 @@ def token_blocks(documents: DataFrame, tokenizer: str | None = None, end_id: int
             number, base = number + 1, base + n
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["file", "block", "ids", "doc_ids"])
 
-        for b in batches:
+        for b in slices(batches):
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 held += encode.of(text) + end
                 ends.append(base + len(held))

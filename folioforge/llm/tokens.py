@@ -43,7 +43,7 @@ class Pieces(dict):
 class Ids(dict):
     """Chunk without white space -> its ids, packed. A cache: emptied when it holds too many."""
 
-    def __init__(self, path: str | None = None, limit: int = 800_000):
+    def __init__(self, path: str | None = None, limit: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
