@@ -9,8 +9,8 @@ and a heap a query keeps the k nearest of the block. What the blocks have kept,
 Every candidate is screened by its bound, so recall is 1; nothing is fitted and nothing grows with the corpus but the number of blocks.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do those whose squared length
-over- or underflows. Vectors of different length aren't compared. Ties go to the smaller vec_id. Rows that repeat a vec_id: each is
-a candidate of other queries once (the first by its components), and one query. Rows with a null vec_id take no part.
+over- or underflows. Vectors of different length aren't compared. Ties go to the smaller vec_id. Rows that repeat a vec_id are each a
+candidate of other queries, and together one query (the first by its components). Rows with a null vec_id take no part.
 """
 
 from __future__ import annotations
@@ -83,13 +83,12 @@ def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>), dim of the vectors that take part, one row a vec_id."""
+    """vec_id, v (array<double>), dim of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
     x = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     x = x.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
     square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
-    x = x.where((square > 0) & (square < float("inf")))
-    return x.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return x.where((square > 0) & (square < float("inf"))).withColumn("dim", F.size("v"))
 
 
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -104,7 +103,8 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     block = lambda salt, blocks: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
     # a candidate goes to a task with each block of queries, a query to one with each block of candidates
     cand = x.withColumn("cb", block(1, c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    quer = x.where(is_query).withColumn("qb", block(2, q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    first = x.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    quer = first.withColumn("qb", block(2, q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     key = ["dim", "qb", "cb"]
 
     def tiles(left: pa.Table, right: pa.Table) -> pa.Table:

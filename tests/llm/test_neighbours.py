@@ -10,15 +10,15 @@ from folioforge.session import table
 
 
 def brute(rows, k, every):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
-            ok[i] = min(ok[i], v) if i in ok else v
+    ok = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    queries = {}
+    for i, v in ok:
+        if i % every == 0:
+            queries[i] = min(queries.get(i, v), v)
     out = {}
-    for q, a in ok.items():
-        if q % every == 0:
-            s = [(-sum(x * y for x, y in zip(a, b, strict=True)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))), i) for i, b in ok.items() if i != q and len(a) == len(b)]
-            out[q] = [(i, -s) for s, i in sorted(s)[:k]]
+    for q, a in queries.items():
+        s = [(-sum(x * y for x, y in zip(a, b, strict=True)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))), i) for i, b in ok if i != q and len(a) == len(b)]
+        out[q] = [(i, -s) for s, i in sorted(s)[:k]]
     return out
 
 
