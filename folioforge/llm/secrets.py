@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,6 +73,13 @@ def other_candidates(text: str, low: bytes, base: list[tuple[int, int, int]]) ->
     """Token-like strings with letters and digits, soon after a sensitive word, that no base span touches."""
     if not any(h in low for h in _SENSITIVE_HINTS):
         return []
+    starts, ends = [], []  # base spans, joined where they overlap
+    for a, _, b in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out, seen = [], -1
     for s in _SENSITIVE.finditer(text):
         for m in _WORD.finditer(text, max(s.end(), seen), s.end() + REACH + 16):
@@ -82,7 +90,9 @@ def other_candidates(text: str, low: bytes, base: list[tuple[int, int, int]]) ->
                 continue
             seen = end
             t = text[start:end]
-            if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(a < end and start < b for a, _, b in base):
+            before = bisect_left(starts, end) - 1  # the last base span that begins before this ends
+            free = before < 0 or ends[before] <= start
+            if free and any(c.isdigit() for c in t) and any(c.isalpha() for c in t):
                 out.append((start, end))
     return out
 
