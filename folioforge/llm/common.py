@@ -137,9 +137,10 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     e = materialise(e, "edges")
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = e.unionByName(up).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, as the skew join splits a hub only where both sides come from shuffles of the join's own
+        large = up.join(materialise(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
