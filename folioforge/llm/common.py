@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,10 +30,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 
-    The table goes when the driver's JVM ends; the result of an operator may still be reading it until then.
+    The table goes when the driver's JVM ends; the result of an operator may still be reading it until then. free: let Spark
+    drop the shuffle files behind the table now. It does so once the JVM has collected the plan that wrote them; the first
+    round lets go of Python's handles, the second collects.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/folioforge/{uuid.uuid4().hex}-{name}"
@@ -40,6 +43,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    for _ in range(2 * free):
+        gc.collect()
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,14 +101,14 @@ _POSITION = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in ra
 
 
 def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` words; of the whole sequence, where it is shorter; none for none. In text order."""
-    n = len(ids)
+    """Hashes of all runs of `size` words along the last axis; of the whole sequence, where it is shorter; none for none. In text order."""
+    n = ids.shape[-1]
     if n == 0:
         return ids
     size = min(size, n)
-    out = ids[: n - size + 1] * _POSITION[0]
+    out = ids[..., : n - size + 1] * _POSITION[0]
     for k in range(1, size):
-        out = out + mix64(ids[k : n - size + 1 + k] ^ _POSITION[k]) * _POSITION[k]
+        out = out + mix64(ids[..., k : n - size + 1 + k] ^ _POSITION[k]) * _POSITION[k]
     return mix64(out + U64(size))
 
 
@@ -134,7 +140,7 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     shuffled. Edges are written to the shared folder between rounds. Nodes: any orderable type.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    e = materialise(e, "edges")
+    e = materialise(e, "edges", free=True)
     before = None
     while True:
         up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
@@ -229,27 +235,28 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return out
 
 
-def verified_links(
-    members: DataFrame, payload: DataFrame, make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int, most_items: int = 512, most_size: int = 500_000
-) -> DataFrame:
-    """(u, v): links inside candidate groups, confirmed on full sets; their components are those of all links.
+def pair_tasks(members: DataFrame, most_items: int = 512, most_size: int = 500_000) -> DataFrame:
+    """task, grp, lo, hi, mine, id: which tasks compare the members (id, grp, size, all long) of candidate groups.
 
-    members: id long, grp long, size long (elements of the id's set). payload: id and the columns from which make_sets makes the
-    sets, read for the members only. A group that is small goes to one task. A large one is cut by hash into blocks of about
-    most_items items and most_size elements, and every pair of its blocks is a task of its own, so no task holds more than
-    two blocks, whatever the group's size; no pairs of items are ever emitted.
+    A group that is small is one task. A large one is cut by hash into blocks of about most_items items and most_size elements, and
+    every pair of its blocks is a task of its own, so no task holds more than two blocks, whatever the group's size. mine is
+    the id's block, lo <= hi the task's.
     """
-    columns = [c for c in payload.columns if c != "id"]
     total = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z"))
     total = total.where("n > 1").select("grp", F.greatest(F.ceil(F.col("n") / most_items), F.ceil(F.col("z") / most_size)).cast("int").alias("blocks"))
     x = members.join(total, "grp").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    # the pair of blocks i <= j is a task; a block is in one pair with each block
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    x = x.select(F.xxhash64("grp", "lo", "hi").alias("task"), "grp", "lo", "hi", "mine", "id").join(payload, "id")
-    x = x.select("task", "grp", "lo", "hi", "mine", "id", *columns)
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = x.repartition(parts, "task").sortWithinPartitions("task", "grp", "lo", "hi", "id")
+    return x.select(F.xxhash64("grp", "lo", "hi").alias("task"), "grp", "lo", "hi", "mine", "id")
+
+
+def verified_links(items: DataFrame, make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int) -> DataFrame:
+    """(u, v): links inside tasks, confirmed on full sets; their components are those of all links.
+
+    items: rows of pair_tasks with the columns from which make_sets makes the sets. Pairs of items are never emitted but where they link two components of a task.
+    """
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = items.repartition(parts, "task").sortWithinPartitions("task", "grp", "lo", "hi", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_u: list[int] = []
@@ -279,4 +286,4 @@ def leader_edges(keys: DataFrame) -> DataFrame:
     return keys.join(lead, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
 
-__all__ = ["F", "W", "WordIds", "components", "group_stream", "leader_edges", "materialise", "mix64", "scratch_dir", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]
+__all__ = ["F", "W", "WordIds", "components", "group_stream", "leader_edges", "materialise", "mix64", "pair_tasks", "scratch_dir", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import U64, WordIds, components, leader_edges, materialise, mix64, shingle_hashes, slices, texts_as_bytes, verified_links
+from folioforge.llm.common import U64, WordIds, components, leader_edges, materialise, mix64, pair_tasks, shingle_hashes, slices, texts_as_bytes, verified_links
 
 ROWS, BANDS = 6, 40
 PERMUTATIONS = ROWS * BANDS // 2
@@ -113,7 +113,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
     found = materialise(signatures(documents, shingle), "signatures")
     classes = found.where("a IS NOT NULL AND doc_id IS NOT NULL").groupBy("a", "b")
-    classes = materialise(classes.agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
+    classes = materialise(classes.agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes", free=True)
     edges = leader_edges(classes.select(F.explode("bands").alias("key"), "id"))
     groups = materialise(components(edges).select(F.col("node").alias("id"), F.col("component").alias("grp")), "groups")
 
@@ -122,8 +122,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         return [shingle_set(x, ids, shingle) for x in texts_as_bytes(t.column("text"))]
 
     members = groups.join(classes.select("id", "size"), "id")
-    links = verified_links(members, documents.select(F.col("doc_id").cast("long").alias("id"), "text"), make_sets, percent)
-    linked = components(links)
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    links = verified_links(pair_tasks(members).join(texts, "id"), make_sets, percent)
+    linked = components(links)  # writes the links first
     label = classes.join(linked, classes["id"] == linked["node"], "left").select("a", "b", F.coalesce("component", "id").alias("label"), "copies", "id")
     label = label.where("copies > 1 OR label <> id").select("a", "b", "label")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))

@@ -5,10 +5,11 @@ the WORDS words from an anchor, and an anchor is a place whose 3-gram hash is th
 passage of SPAN + WORDS - 1 = 51 words or more has an anchor that it alone decides, with a whole paragraph after it.
 
 1. Paragraphs with equal words are one class.
-2. Classes' five-word shingle sets are banded by min-max hashing, BANDS bands of one value each, the choice with the highest recall: a pair
-   at 0.8 collides with probability 1 - 0.2**BANDS, 0.992. Classes that share a band key are joined to the least of
-   them, one row a class and key, never as all pairs.
-3. Inside the candidate groups Jaccard similarity of 0.8 or more is confirmed on full shingle sets (common.verified_links).
+2. Classes' five-word shingle sets are banded by min-max hashing, BANDS bands of one value and its place each, the choice with the highest
+   recall: a pair at 0.8 whose shared words stand at the same places collides with probability 1 - 0.2**BANDS, 0.992.
+   Overlapping paragraphs of one document share shingles, but at other places, so they don't collide.
+3. Classes that share a band key are a candidate group, in which Jaccard similarity of 0.8 or more is confirmed on full shingle sets. Groups larger
+   than a block are dealt out as pairs of blocks (common.pair_tasks), and no pairs of classes are emitted but spanning links.
 4. Components of the links are clusters. A cluster counts where it has members in two documents.
 5. A document's paragraphs of counted clusters that overlap are one passage. It is kept in the document with the smallest doc_id
    of all that share any of its clusters, and is to be removed from the others.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioforge.llm.common import U64, WordIds, components, leader_edges, materialise, mix64, shingle_hashes, texts_as_bytes, verified_links
+from folioforge.llm.common import U64, WordIds, components, materialise, mix64, pair_tasks, shingle_hashes, slices, texts_as_bytes, verified_links
 from folioforge.llm.minhash import MinMax, word_list
 
 GRAM, SPAN, WORDS = 3, 24, 28
@@ -37,102 +38,164 @@ BANDS = 3
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=U64)) | U64(1)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
+#: Bytes of text that are worked on at a time (a longer text alone), and the bits of a key that hold a place: more words than a text can have.
+AT_ONCE, PLACE_BITS = 4 << 20, 30
 
-def anchors(words: np.ndarray) -> np.ndarray:
-    """Places of 3-grams that are the least of SPAN in a row, with WORDS words from there on."""
-    grams = shingle_hashes(words, GRAM)
-    if len(words) < WORDS or len(grams) < SPAN:
-        return np.zeros(0, dtype=np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(grams, SPAN)
-    at = np.unique(np.arange(len(rows)) + rows.argmin(axis=1))
-    return at[at + WORDS <= len(words)]
 
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets of the start and end of each word."""
+    space = np.concatenate([[True], _SPACE[np.frombuffer(raw, dtype=np.uint8)], [True]])
+    return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
 
-def paragraph_hashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    m = words[at[:, None] + np.arange(WORDS)]
-    return mix64((mix64(m + _PLACE) * _PLACE).sum(axis=1, dtype=U64))
 
+def anchors(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of 3-grams that are the least of SPAN in a row, the first of equals, with WORDS words from there on.
 
-def band_keys(words: np.ndarray, at: np.ndarray, hashes: MinMax) -> np.ndarray:
-    """Paragraphs x BANDS: minima and maxima of the permuted shingles of each paragraph."""
-    s = shingle_hashes(words, SHINGLE)[at[:, None] + np.arange(WORDS - SHINGLE + 1)]
-    h = (s >> U64(32)).astype(np.uint32)
-    v = np.stack([f(x, axis=1) for x in hashes.permuted(h) for f in (np.min, np.max)], axis=1)[:, :BANDS].astype(U64)
+    words and doc: the hashes of all words of some documents in a row, and the document of each. Windows and paragraphs stay
+    inside a document. Minima of 24 in a row come from minima of 2, 4, 8 and 16.
+    """
+    n = len(words) - GRAM + 1
+    windows = n - SPAN + 1
+    if windows <= 0:
+        return np.zeros(0, dtype=np.int64)
+    bits = U64(PLACE_BITS)
+    key = shingle_hashes(words, GRAM) >> bits << bits | np.arange(n, dtype=U64)
+    low, done, size = None, 0, 1
+    while size <= SPAN:
+        if SPAN & size:
+            part = key[done : done + windows]
+            low = part if low is None else np.minimum(low, part)
+            done += size
+        key = np.minimum(key[:-size], key[size:])
+        size *= 2
+    whole = doc[:windows] == doc[SPAN + GRAM - 2 :][:windows]
+    at = np.unique((low[whole] & U64((1 << PLACE_BITS) - 1)).astype(np.int64))
+    at = at[at + WORDS <= len(words)]
+    return at[doc[at] == doc[at + WORDS - 1]]
+
+
+def paragraph_hashes(words: np.ndarray) -> np.ndarray:
+    """Of paragraphs given as rows of WORDS word hashes."""
+    return mix64((mix64(words + _PLACE) * _PLACE).sum(axis=1, dtype=U64))
+
+
+def band_keys(words: np.ndarray, hashes: MinMax) -> np.ndarray:
+    """Paragraphs x BANDS: minima and maxima of the permuted shingles of each paragraph, with their places in it."""
+    h = (shingle_hashes(words, SHINGLE) >> U64(32)).astype(np.uint32)
+    found = []
+    for x in hashes.permuted(h):
+        found += [(x, f(x, axis=1)[:, None]) for f in (np.argmin, np.argmax)]
+    v = np.concatenate([np.take_along_axis(x, i, axis=1).astype(U64) | i.astype(U64) << U64(32) for x, i in found[:BANDS]], axis=1)
     return mix64(mix64(v + hashes.place[0]) ^ hashes.band[None, :BANDS]).view(np.int64)
 
 
-def word_offsets(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Code-point offsets of the start and end of each word."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    space = np.concatenate([[True], _SPACE[raw], [True]])
-    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return chars[np.flatnonzero(space[:-1] & ~space[1:])], chars[np.flatnonzero(~space[:-1] & space[1:])]
+def paragraphs_of(texts: list[bytes], ids: WordIds, hashes: MinMax) -> tuple[np.ndarray, ...]:
+    """text (its number), first (word), start and end (code points), h, bands of the paragraphs of some texts: the first of each class in a text."""
+    raw = b" ".join(texts)
+    starts, ends = word_places(raw)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    doc = np.searchsorted(begin, starts, side="right") - 1
+    words = ids.of(raw.lower().split())
+    at = anchors(words, doc)
+    rows = words[at[:, None] + np.arange(WORDS)]
+    h = paragraph_hashes(rows).view(np.int64)
+    order = np.lexsort((at, h, doc[at]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[at][order][1:] != doc[at][order][:-1])
+    keep = np.sort(order[new])
+    at, rows, h = at[keep], rows[keep], h[keep]
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
+    own = doc[at]
+    first = at - np.searchsorted(doc, own)  # doc rises, so this is the text's first word
+    return own, first, chars[starts[at]] - chars[begin[own]], chars[ends[at + WORDS - 1]] - chars[begin[own]], h, band_keys(rows, hashes)
 
 
 def unit_rows(documents: DataFrame) -> DataFrame:
     """doc_id, first (word), start and end (code points), h (class), bands: one row a paragraph, the first of each class in a document."""
+    names = ["doc_id", "first", "start", "end", "h", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes = WordIds(), MinMax(-(-BANDS // 2), 1)
-        for batch in batches:
-            docs, rows = [], []
+
+        def rows(docs: list[int], texts: list[bytes]) -> pa.RecordBatch:
+            text, first, start, end, h, bands = paragraphs_of(texts, ids, hashes)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1), pa.int64()))
+            columns = [pa.array(np.array(docs, dtype=np.int64)[text]), *(pa.array(c, pa.int32()) for c in (first, start, end)), pa.array(h, pa.int64()), lists]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in slices(batches):
+            docs, texts, size = [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text")), strict=True):
-                words = ids.of(word_list(text))
-                at = anchors(words)
-                if len(at):
-                    h, first = np.unique(paragraph_hashes(words, at), return_index=True)
-                    at = at[first]
-                    start, end = word_offsets(text)
-                    docs += [doc] * len(at)
-                    rows.append((at, start[at], end[at + WORDS - 1], h.view(np.int64), band_keys(words, at, hashes)))
-            flat = [np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (zip(*rows, strict=True) if rows else [()] * 5)]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(docs) * BANDS + 1, BANDS), pa.int32()), pa.array(flat[4].reshape(-1), pa.int64()))
-            columns = [pa.array(docs, pa.int64()), *(pa.array(c, pa.int32()) for c in flat[:3]), pa.array(flat[3], pa.int64()), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "first", "start", "end", "h", "bands"])
+                if text:
+                    docs.append(doc)
+                    texts.append(text)
+                    size += len(text)
+                if size >= AT_ONCE:
+                    yield rows(docs, texts)
+                    docs, texts, size = [], [], 0
+            if texts:
+                yield rows(docs, texts)
 
     ok = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return ok.mapInArrow(run, "doc_id long, first int, start int, end int, h long, bands array<long>")
 
 
-def shingle_sets(wanted: DataFrame, documents: DataFrame) -> DataFrame:
-    """id, shingles (packed 64-bit hashes) of paragraphs given as doc_id, first, id; made again from the texts of their documents alone."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "id")).alias("wanted"))  # no more than a document has
+_TASK = ["task", "grp", "lo", "hi", "mine", "id"]
+
+
+def with_shingles(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows of pair_tasks with `shingles` (packed 64-bit hashes), made again from the texts of their documents alone.
+
+    wanted: the rows with doc_id and first, where a member of the class stands. Only words of paragraphs that are asked for are hashed.
+    """
+    by_doc = wanted.groupBy("doc_id", "first", "id").agg(F.collect_list(F.struct("task", "grp", "lo", "hi", "mine")).alias("tasks"))
+    by_doc = by_doc.groupBy("doc_id").agg(F.collect_list(F.struct("first", "id", "tasks")).alias("wanted"))  # no more than a document has
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for b in batches:
-            out, sets = [], []
+        for b in slices(batches):
+            rows: list[tuple] = []
             for text, own in zip(texts_as_bytes(b.column("text")), b.column("wanted").to_pylist(), strict=True):
-                words = ids.of(word_list(text))
+                words = word_list(text)
                 own = [w for w in own if w["first"] + WORDS <= len(words)]
                 if not own:
                     continue
-                at = np.array([w["first"] for w in own])
-                same = paragraph_hashes(words, at).view(np.int64).tolist()  # another text of the same doc_id may differ
-                for w, h in zip(own, same, strict=True):
+                m = ids.of([x for w in own for x in words[w["first"] : w["first"] + WORDS]]).reshape(-1, WORDS)
+                same = paragraph_hashes(m).view(np.int64).tolist()  # another text of the same doc_id may differ
+                sets = np.sort(shingle_hashes(m, SHINGLE), axis=1)
+                for w, h, s in zip(own, same, sets, strict=True):
                     if w["id"] == h:
-                        out.append(h)
-                        sets.append(np.unique(shingle_hashes(words[w["first"] : w["first"] + WORDS], SHINGLE)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+                        packed = (s if (s[1:] != s[:-1]).all() else np.unique(s)).tobytes()
+                        rows += [(*(t[c] for c in _TASK[:-1]), h, packed) for t in w["tasks"]]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*_TASK, "shingles"])
+
+    return texts.join(by_doc, "doc_id").mapInArrow(run, "task long, grp long, lo int, hi int, mine int, id long, shingles binary")
+
 
-    return texts.join(by_doc, "doc_id").mapInArrow(run, "id long, shingles binary")
+def band_groups(units: DataFrame) -> DataFrame:
+    """id (class), grp (band key), size of the classes that share a key with another."""
+    keys = units.select(F.explode("bands").alias("grp"), F.col("h").alias("id"))
+    shared = keys.groupBy("grp").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("grp")
+    return keys.join(shared, "grp").distinct().withColumn("size", F.lit(WORDS - SHINGLE + 1).cast("long"))
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
     """doc_id, start, end (code points), cluster_id, keep: passages that other documents share."""
     units = materialise(unit_rows(documents), "paragraphs")
-    edges = leader_edges(units.select(F.explode("bands").alias("key"), F.col("h").alias("id")))
-    groups = components(edges).select(F.col("node").alias("h"), F.col("component").alias("grp"))
+    members = materialise(band_groups(units), "members", free=True)
+    near = members.select(F.col("id").alias("h")).distinct().withColumn("near", F.lit(True))
     classes = units.groupBy("h").agg(F.min(F.struct("doc_id", "first")).alias("rep"), F.max("doc_id").alias("last"))
-    classes = classes.join(groups, "h", "left").where("grp IS NOT NULL OR rep.doc_id <> last").select("h", "grp", "rep", "last")
-    classes = materialise(classes, "classes")
-    near = classes.where("grp IS NOT NULL")
-    members = near.select(F.col("h").alias("id"), "grp", F.lit(WORDS - SHINGLE + 1).cast("long").alias("size"))
-    sets = shingle_sets(near.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.first").alias("first"), F.col("h").alias("id")), documents)
-    links = verified_links(members, sets, lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")], PERCENT, most_items=2048)
+    classes = classes.join(near, "h", "left").where("near OR rep.doc_id <> last").select("h", "near", "rep", "last")
+    classes = materialise(classes, "classes", free=True)
+    place = classes.where("near").select(F.col("h").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.first").alias("first"))
+    items = with_shingles(pair_tasks(members, most_items=2048).join(place, "id"), documents)
+    links = verified_links(items, lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")], PERCENT)
+    links = materialise(links, "links", free=True)
     linked = components(links).select(F.col("node").alias("h"), "component")
-    clusters = materialise(classes.join(linked, "h", "left").select("h", F.coalesce("component", "h").alias("cluster_id"), F.col("rep.doc_id").alias("from"), F.col("last").alias("to")), "clusters")
+    clusters = materialise(classes.join(linked, "h", "left").select("h", F.coalesce("component", "h").alias("cluster_id"), F.col("rep.doc_id").alias("from"), F.col("last").alias("to")), "clusters", free=True)
     shared = clusters.groupBy("cluster_id").agg(F.min("from").alias("owner"), F.max("to").alias("z")).where("owner <> z").select("cluster_id", "owner")
     label = clusters.select("h", "cluster_id").join(shared, "cluster_id").select("h", "cluster_id", "owner")
     found = units.select("doc_id", "start", "end", "h").join(label, "h")

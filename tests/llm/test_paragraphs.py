@@ -42,25 +42,36 @@ def test_passages_of_51_words_are_caught_wherever_they_stand(spark):
 def test_near_paragraphs_are_clustered(spark):
     """A paragraph whose last word differs has other words, but shingles alike: found by the bands and verified."""
     rng = random.Random(8)
-    base = prose(rng, 24) + prose(rng, 60)
-    import numpy as np
-
     ids = op.WordIds()
-    at = op.anchors(ids.of([w.encode() for w in base]))[0]
-    other = list(base)
-    other[at + op.WORDS - 1] = "changed"
-    tail = prose(rng, 400)
-    for i in range(at + op.WORDS, len(other)):  # nothing else is shared
-        other[i] = tail[i]
-    for i in range(at):
-        other[i] = tail[100 + i]
-    words = ids.of([w.encode() for w in other])
-    if at not in op.anchors(words):  # the anchor needs its window
-        return
-    assert not set(op.paragraph_hashes(words, np.array([at]))) & set(op.paragraph_hashes(ids.of([w.encode() for w in base]), op.anchors(ids.of([w.encode() for w in base]))))
+    of = lambda words: op.paragraphs_of([" ".join(words).encode()], ids, op.MinMax(2, 1))
+    base = prose(rng, 84)
+    at = int(of(base)[1][0])
+    other = prose(rng, 84)
+    other[at : at + op.WORDS - 1] = base[at : at + op.WORDS - 1]
+    a, b = of(base), of(other)
+    assert at in b[1] and not set(a[4].tolist()) & set(b[4].tolist())
     assert set(found(docs(spark, [" ".join(base), " ".join(other)]))) == {0, 1}
 
 
+def test_anchors_against_plain_minima():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(n)) for n in (0, 5, 27, 28, 60, 300, 28)]
+    ids = op.WordIds()
+    got = op.paragraphs_of([t.encode() for t in texts], ids, op.MinMax(2, 1))
+    want = set()
+    for i, t in enumerate(texts):
+        w = ids.of(op.word_list(t.encode()))
+        g = [int(x) >> op.PLACE_BITS for x in op.shingle_hashes(w, op.GRAM)] if len(w) >= op.GRAM else []
+        places = {min(range(k, k + op.SPAN), key=lambda p: (g[p], p)) for k in range(len(g) - op.SPAN + 1)}
+        seen = set()
+        for p in sorted(places):
+            u = t.split()[p : p + op.WORDS]
+            if len(u) == op.WORDS and tuple(u) not in seen:
+                seen.add(tuple(u))
+                want.add((i, p, " ".join(u)))
+    assert {(i, p, texts[i][s:e]) for i, p, s, e in zip(*(c.tolist() for c in got[:4]), strict=True)} == want and len(want) > 20
+
+
 def test_repeats_inside_a_document_and_repeated_rows_do_not_count(spark):
     rng = random.Random(3)
     p = " ".join(prose(rng, 80))
