@@ -8,9 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 U64 = np.uint64
 
@@ -235,25 +234,10 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return out
 
 
-def pair_tasks(members: DataFrame, most_items: int = 512, most_size: int = 500_000) -> DataFrame:
-    """task, grp, lo, hi, mine, id: which tasks compare the members (id, grp, size, all long) of candidate groups.
-
-    A group that is small is one task. A large one is cut by hash into blocks of about most_items items and most_size elements, and
-    every pair of its blocks is a task of its own, so no task holds more than two blocks, whatever the group's size. mine is
-    the id's block, lo <= hi the task's.
-    """
-    total = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z"))
-    total = total.where("n > 1").select("grp", F.greatest(F.ceil(F.col("n") / most_items), F.ceil(F.col("z") / most_size)).cast("int").alias("blocks"))
-    x = members.join(total, "grp").withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    return x.select(F.xxhash64("grp", "lo", "hi").alias("task"), "grp", "lo", "hi", "mine", "id")
-
-
 def verified_links(items: DataFrame, make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int) -> DataFrame:
     """(u, v): links inside tasks, confirmed on full sets; their components are those of all links.
 
-    items: rows of pair_tasks with the columns from which make_sets makes the sets. Pairs of items are never emitted but where they link two components of a task.
+    items: rows of _tasks with the columns from which make_sets makes the sets. Pairs are never emitted but where they link two components of a task.
     """
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = items.repartition(parts, "task").sortWithinPartitions("task", "grp", "lo", "hi", "id")
@@ -277,6 +261,48 @@ def verified_links(items: DataFrame, make_sets: Callable[[pa.Table], list[np.nda
     return x.mapInArrow(run, "u long, v long")
 
 
+def _tasks(x: DataFrame, others: Column) -> DataFrame:
+    """task, grp, lo, hi, mine, id: a member of block `mine` goes to the task of its block and each of the others."""
+    x = x.withColumn("other", F.explode(others))
+    x = x.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    return x.select(F.xxhash64("grp", "lo", "hi").alias("task"), "grp", "lo", "hi", "mine", "id")
+
+
+def group_links(
+    members: DataFrame, attach: Callable[[DataFrame], DataFrame], make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int, most_items: int = 256, most_size: int = 250_000
+) -> DataFrame:
+    """(u, v): links inside candidate groups, confirmed on full sets, whose components are those of all links.
+
+    members: id, grp, size (elements of the id's set), all long. attach adds to rows of task, grp, lo, hi, mine, id the columns from which
+    make_sets makes the sets. A group that is small is one task. A large one is cut by hash into blocks of about most_items items and
+    most_size elements, and a task compares two blocks (lo <= hi, mine the item's own), so no task holds more, whatever the group's size. In a first
+    round all blocks meet block 0, which is enough to put the copies of one text into one component. Members of a group's largest
+    component needn't be compared with each other, so in the second round only blocks of the rest meet all others: the work grows with the group's size
+    and with how many of its members are apart, not with the square of a group of copies.
+    """
+    blocks = lambda n, z: F.greatest(F.ceil(n / most_items), F.ceil(z / most_size)).cast("int")
+    total = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z")).where("n > 1")
+    x = members.join(total.select("grp", blocks(F.col("n"), F.col("z")).alias("blocks")), "grp")
+    x = materialise(x.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")), "blocks", free=True)
+    to_all = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = _tasks(x, F.when(F.col("mine") == 0, to_all).otherwise(F.array(F.lit(0))))
+    links = materialise(verified_links(attach(first), make_sets, percent), "links", free=True)
+    large = x.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    y = large.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    most = y.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
+    y = materialise(y.join(most, "grp").withColumn("apart", F.col("component") != F.col("most")).drop("component", "most"), "apart")
+    rest = y.where("apart").groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z")).select("grp", blocks(F.col("n"), F.col("z")).alias("rest"))
+    y = y.join(rest, "grp")
+    # blocks of the rest come first, then those of the largest component
+    block = F.when(F.col("apart"), F.pmod(F.xxhash64("id", F.lit(8)), F.col("rest")).cast("int")).otherwise(F.col("rest") + F.col("mine"))
+    to_rest = F.sequence(F.lit(0), F.col("rest") - 1)
+    to_both = F.sequence(F.lit(0), F.col("rest") + F.col("blocks") - 1)
+    second = _tasks(y.withColumn("mine", block), F.when(F.col("apart"), to_both).otherwise(to_rest))
+    return links.unionByName(verified_links(attach(second), make_sets, percent))
+
+
 def leader_edges(keys: DataFrame) -> DataFrame:
     """(u, v): each id with the least id of every key that it shares. keys: key, id.
 
@@ -286,4 +312,4 @@ def leader_edges(keys: DataFrame) -> DataFrame:
     return keys.join(lead, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
 
-__all__ = ["F", "W", "WordIds", "components", "group_stream", "leader_edges", "materialise", "mix64", "pair_tasks", "scratch_dir", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]
+__all__ = ["WordIds", "components", "group_links", "group_stream", "leader_edges", "materialise", "mix64", "scratch_dir", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]

@@ -7,7 +7,7 @@ The steps, none of which collects ids, links or groups to the driver or a hot gr
 2. Documents with equal sets are one class; from here on a class is one item, named by its smallest doc_id.
 3. Bands: classes that share a band hash are joined to the least of them, one row a member. Components of these are candidate groups.
 4. Inside the groups, links are confirmed on full sets, which are made again from the texts of the members alone.
-   Large groups are dealt out as pairs of blocks (common.verified_links).
+   Large groups are dealt out as pairs of blocks (common.group_links).
 5. Components of the links, then each class's component goes back to its documents.
 
 With BANDS bands of ROWS values each, a pair at J is a candidate with probability 1 - (1 - J**ROWS)**BANDS at least: at 0.8, all but 6 in a
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import U64, WordIds, components, leader_edges, materialise, mix64, pair_tasks, shingle_hashes, slices, texts_as_bytes, verified_links
+from folioforge.llm.common import U64, WordIds, components, group_links, leader_edges, materialise, mix64, shingle_hashes, slices, texts_as_bytes
 
 ROWS, BANDS = 6, 40
 PERMUTATIONS = ROWS * BANDS // 2
@@ -123,7 +123,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
 
     members = groups.join(classes.select("id", "size"), "id")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    links = verified_links(pair_tasks(members).join(texts, "id"), make_sets, percent)
+    links = group_links(members, lambda tasks: tasks.join(texts, "id"), make_sets, percent)
     linked = components(links)  # writes the links first
     label = classes.join(linked, classes["id"] == linked["node"], "left").select("a", "b", F.coalesce("component", "id").alias("label"), "copies", "id")
     label = label.where("copies > 1 OR label <> id").select("a", "b", "label")

@@ -9,7 +9,7 @@ passage of SPAN + WORDS - 1 = 51 words or more has an anchor that it alone decid
    recall: a pair at 0.8 whose shared words stand at the same places collides with probability 1 - 0.2**BANDS, 0.992.
    Overlapping paragraphs of one document share shingles, but at other places, so they don't collide.
 3. Classes that share a band key are a candidate group, in which Jaccard similarity of 0.8 or more is confirmed on full shingle sets. Groups larger
-   than a block are dealt out as pairs of blocks (common.pair_tasks), and no pairs of classes are emitted but spanning links.
+   than a block are dealt out as pairs of blocks (common.group_links), and no pairs of classes are emitted but spanning links.
 4. Components of the links are clusters. A cluster counts where it has members in two documents.
 5. A document's paragraphs of counted clusters that overlap are one passage. It is kept in the document with the smallest doc_id
    of all that share any of its clusters, and is to be removed from the others.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioforge.llm.common import U64, WordIds, components, materialise, mix64, pair_tasks, shingle_hashes, slices, texts_as_bytes, verified_links
+from folioforge.llm.common import U64, WordIds, components, group_links, materialise, mix64, shingle_hashes, slices, texts_as_bytes
 from folioforge.llm.minhash import MinMax, word_list
 
 GRAM, SPAN, WORDS = 3, 24, 28
@@ -144,7 +144,7 @@ _TASK = ["task", "grp", "lo", "hi", "mine", "id"]
 
 
 def with_shingles(wanted: DataFrame, documents: DataFrame) -> DataFrame:
-    """Rows of pair_tasks with `shingles` (packed 64-bit hashes), made again from the texts of their documents alone.
+    """Rows of tasks with `shingles` (packed 64-bit hashes), made again from the texts of their documents alone.
 
     wanted: the rows with doc_id and first, where a member of the class stands. Only words of paragraphs that are asked for are hashed.
     """
@@ -191,9 +191,8 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     classes = classes.join(near, "h", "left").where("near OR rep.doc_id <> last").select("h", "near", "rep", "last")
     classes = materialise(classes, "classes", free=True)
     place = classes.where("near").select(F.col("h").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.first").alias("first"))
-    items = with_shingles(pair_tasks(members, most_items=2048).join(place, "id"), documents)
-    links = verified_links(items, lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")], PERCENT)
-    links = materialise(links, "links", free=True)
+    sets = lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")]
+    links = group_links(members, lambda tasks: with_shingles(tasks.join(place, "id"), documents), sets, PERCENT, most_items=1024)
     linked = components(links).select(F.col("node").alias("h"), "component")
     clusters = materialise(classes.join(linked, "h", "left").select("h", F.coalesce("component", "h").alias("cluster_id"), F.col("rep.doc_id").alias("from"), F.col("last").alias("to")), "clusters", free=True)
     shared = clusters.groupBy("cluster_id").agg(F.min("from").alias("owner"), F.max("to").alias("z")).where("owner <> z").select("cluster_id", "owner")

@@ -72,8 +72,8 @@ def test_large_group_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = [mutated(rng, base, rng.randint(0, 5)) for _ in range(150)]
-    whole = op.pair_tasks
-    monkeypatch.setattr(op, "pair_tasks", lambda members: whole(members, most_items=16, most_size=2000))
+    whole = op.group_links
+    monkeypatch.setattr(op, "group_links", lambda *a: whole(*a, most_items=16, most_size=2000))
     got = op.near_duplicates(docs(spark, texts), shingle=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(list(range(len(texts))), texts, 4)
 
