@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers that see this folder import the package from any working directory. A cluster gets it with --py-files."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths and ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    return spark
+
 
 def local_session(cpus: int = 8, shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster the caller brings its own."""
-    return (
+    return importable(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("folioforge")
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -21,4 +35,4 @@ def local_session(cpus: int = 8, shuffle: int = 8, memory: str = "8g") -> SparkS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
