@@ -179,7 +179,7 @@ class Union:
         return True
 
 
-def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, chunk: int = 4096) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, chunk: int = 1024) -> list[tuple[int, int]]:
     """Links between sets at 100 * intersection >= percent * union, less those that others already imply.
 
     left and right say on which side of the block pair a set stands; only pairs with one end on each side are looked at.
@@ -224,10 +224,9 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
             m = at_r[r] >= 0
             b[at_r[r[m]], c[m]] = 1
             common += a @ b.T
-    both = common.astype(np.int64)
-    hit = (both > 0) & (100 * both >= percent * (sizes[li][:, None] + sizes[ri][None, :] - both))
     for i in range(len(li)):
-        for j in np.flatnonzero(hit[i]).tolist():
+        both = common[i].astype(np.int64)
+        for j in np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[li[i]] + sizes[ri] - both))).tolist():
             x, y = int(li[i]), int(ri[j])
             if x != y and seen.join(x, y):
                 out.append((x, y))
@@ -293,12 +292,14 @@ def group_links(
     y = large.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     most = y.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
     y = materialise(y.join(most, "grp").withColumn("apart", F.col("component") != F.col("most")).drop("component", "most"), "apart")
-    rest = y.where("apart").groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z")).select("grp", blocks(F.col("n"), F.col("z")).alias("rest"))
-    y = y.join(rest, "grp")
+    size = y.groupBy("grp", "apart").agg(blocks(F.count("*"), F.sum("size")).alias("k"))
+    size = size.groupBy("grp").agg(F.max(F.when(F.col("apart"), F.col("k"))).alias("rest"), F.max(F.when(~F.col("apart"), F.col("k"))).alias("same"))
+    y = y.join(size.where("rest IS NOT NULL"), "grp")
     # blocks of the rest come first, then those of the largest component
-    block = F.when(F.col("apart"), F.pmod(F.xxhash64("id", F.lit(8)), F.col("rest")).cast("int")).otherwise(F.col("rest") + F.col("mine"))
+    own = F.pmod(F.xxhash64("id", F.lit(8)), F.when(F.col("apart"), F.col("rest")).otherwise(F.col("same"))).cast("int")
+    block = F.when(F.col("apart"), own).otherwise(F.col("rest") + own)
     to_rest = F.sequence(F.lit(0), F.col("rest") - 1)
-    to_both = F.sequence(F.lit(0), F.col("rest") + F.col("blocks") - 1)
+    to_both = F.sequence(F.lit(0), F.col("rest") + F.col("same") - 1)
     second = _tasks(y.withColumn("mine", block), F.when(F.col("apart"), to_both).otherwise(to_rest))
     return links.unionByName(verified_links(attach(second), make_sets, percent))
 

@@ -140,22 +140,18 @@ def unit_rows(documents: DataFrame) -> DataFrame:
     return ok.mapInArrow(run, "doc_id long, first int, start int, end int, h long, bands array<long>")
 
 
-_TASK = ["task", "grp", "lo", "hi", "mine", "id"]
-
-
-def with_shingles(wanted: DataFrame, documents: DataFrame) -> DataFrame:
-    """Rows of tasks with `shingles` (packed 64-bit hashes), made again from the texts of their documents alone.
-
-    wanted: the rows with doc_id and first, where a member of the class stands. Only words of paragraphs that are asked for are hashed.
+def shingle_sets(place: DataFrame, documents: DataFrame) -> DataFrame:
+    """id, shingles (packed 64-bit hashes) of classes given as id, doc_id, first: where a member stands. Made again from the texts of those documents
+    alone; only words of paragraphs that are asked for are hashed.
     """
-    by_doc = wanted.groupBy("doc_id", "first", "id").agg(F.collect_list(F.struct("task", "grp", "lo", "hi", "mine")).alias("tasks"))
-    by_doc = by_doc.groupBy("doc_id").agg(F.collect_list(F.struct("first", "id", "tasks")).alias("wanted"))  # no more than a document has
+    by_doc = place.groupBy("doc_id").agg(F.collect_list(F.struct("first", "id")).alias("wanted"))  # no more than a document has
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for b in slices(batches):
-            rows: list[tuple] = []
+            out: list[int] = []
+            sets: list[bytes] = []
             for text, own in zip(texts_as_bytes(b.column("text")), b.column("wanted").to_pylist(), strict=True):
                 words = word_list(text)
                 own = [w for w in own if w["first"] + WORDS <= len(words)]
@@ -163,16 +159,13 @@ def with_shingles(wanted: DataFrame, documents: DataFrame) -> DataFrame:
                     continue
                 m = ids.of([x for w in own for x in words[w["first"] : w["first"] + WORDS]]).reshape(-1, WORDS)
                 same = paragraph_hashes(m).view(np.int64).tolist()  # another text of the same doc_id may differ
-                sets = np.sort(shingle_hashes(m, SHINGLE), axis=1)
-                for w, h, s in zip(own, same, sets, strict=True):
+                for w, h, x in zip(own, same, np.sort(shingle_hashes(m, SHINGLE), axis=1), strict=True):
                     if w["id"] == h:
-                        packed = (s if (s[1:] != s[:-1]).all() else np.unique(s)).tobytes()
-                        rows += [(*(t[c] for c in _TASK[:-1]), h, packed) for t in w["tasks"]]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*_TASK, "shingles"])
+                        out.append(h)
+                        sets.append((x if (x[1:] != x[:-1]).all() else np.unique(x)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return texts.join(by_doc, "doc_id").mapInArrow(run, "task long, grp long, lo int, hi int, mine int, id long, shingles binary")
+    return texts.join(by_doc, "doc_id").mapInArrow(run, "id long, shingles binary")
 
 
 def band_groups(units: DataFrame) -> DataFrame:
@@ -191,8 +184,9 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     classes = classes.join(near, "h", "left").where("near OR rep.doc_id <> last").select("h", "near", "rep", "last")
     classes = materialise(classes, "classes", free=True)
     place = classes.where("near").select(F.col("h").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.first").alias("first"))
-    sets = lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")]
-    links = group_links(members, lambda tasks: with_shingles(tasks.join(place, "id"), documents), sets, PERCENT, most_items=1024)
+    sets = materialise(shingle_sets(place, documents), "shingles", free=True)
+    unpacked = lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")]
+    links = group_links(members, lambda tasks: tasks.join(sets, "id"), unpacked, PERCENT, most_items=2048)
     linked = components(links).select(F.col("node").alias("h"), "component")
     clusters = materialise(classes.join(linked, "h", "left").select("h", F.coalesce("component", "h").alias("cluster_id"), F.col("rep.doc_id").alias("from"), F.col("last").alias("to")), "clusters", free=True)
     shared = clusters.groupBy("cluster_id").agg(F.min("from").alias("owner"), F.max("to").alias("z")).where("owner <> z").select("cluster_id", "owner")
