@@ -153,15 +153,15 @@ PIECE = [
 ]
 
 
-def packed_documents(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1, limits: Limits = Limits(), with_ids: bool = True) -> DataFrame:
+def packed_documents(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1, limits: Limits = Limits(), with_ids: bool = True, cache: int = 1_000_000) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (packed, or null without with_ids), ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids are the tokenizer's, without special tokens, then end_id; all bear loss.
+    A document's ids are the tokenizer's, without special tokens, then end_id; all bear loss. cache: entries that a worker keeps, by tokens.ids_of.
     """
     fields = [documents.schema["doc_id"], *PIECE]
 
     def examples(batches: Iterable[pa.RecordBatch]) -> Iterator[Example]:
-        encode = ids_of(tokenizer)
+        encode = ids_of(tokenizer, cache)
         end = packed([end_id])
         for b in slices(batches):
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):

@@ -43,7 +43,7 @@ class Pieces(dict):
 class Ids(dict):
     """Chunk without white space -> its ids, packed. A cache: emptied when it holds too many."""
 
-    def __init__(self, path: str | None = None, limit: int = 400_000):
+    def __init__(self, path: str | None = None, limit: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -88,11 +88,13 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_LOADED: dict[str | None, Ids] = {}
+_LOADED: dict[tuple[str | None, int], Ids] = {}
 
 
-def ids_of(path: str | None = None) -> Ids:
-    """One per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Ids(path)
-    return _LOADED[path]
+def ids_of(path: str | None = None, limit: int = 300_000) -> Ids:
+    """One per Python worker. limit: entries of each of its two caches, about 170 bytes an entry."""
+    key = (path, limit)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Ids(path, limit)
+    return _LOADED[key]
