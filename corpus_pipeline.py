@@ -46,7 +46,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs)
+    return packing.packed_documents(docs, cache=300_000)  # the workers hold what the stages before have left, too
 
 
 STAGES = [
