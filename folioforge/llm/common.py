@@ -139,16 +139,17 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     shuffled. Edges are written to the shared folder between rounds. Nodes: any orderable type.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    e = materialise(e, "edges", free=True)
+    few = 2 * e.sparkSession.sparkContext.defaultParallelism  # files of a round's tables: they are many rounds, of few bytes a row
+    e = materialise(e.coalesce(few), "edges", free=True)
     before = None
     while True:
         up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = e.unionByName(up).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # written, as the skew join splits a hub only where both sides come from shuffles of the join's own
-        large = up.join(materialise(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = up.join(materialise(least.coalesce(few), "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct().coalesce(few), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break
