@@ -1,20 +1,22 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are content-defined, so that a passage is cut alike wherever it stands, inside a line or across lines: a paragraph is
+Paragraphs are the lines of a text and its blocks between blank lines, of LEAST words or more, however long. For passages that begin or end
+inside a paragraph there are pieces besides, cut by content, so that a passage is cut alike wherever it stands: a piece is
 the WORDS words from an anchor, and an anchor is a place whose 3-gram hash is the least of some SPAN 3-grams in a row. A
-passage of SPAN + WORDS - 1 = 51 words or more has an anchor that it alone decides, with a whole paragraph after it.
-
-1. Paragraphs with equal words are one class.
-2. Classes' five-word shingle sets are banded by min-max hashing, BANDS bands of one value and its place each, the choice with the highest
-   recall: a pair at 0.8 whose shared words stand at the same places collides with probability 1 - 0.2**BANDS, 0.992.
-   Overlapping paragraphs of one document share shingles, but at other places, so they don't collide.
-3. Classes that share a band key are a candidate group, in which Jaccard similarity of 0.8 or more is confirmed on full shingle sets. Groups larger
-   than a block are dealt out as pairs of blocks (common.group_links), and no pairs of classes are emitted but spanning links.
+passage of SPAN + WORDS - 1 = 51 words or more has an anchor that it alone decides, with a whole piece after it.
+
+1. Paragraphs with equal words are one class, and so are pieces.
+2. Classes' five-word shingle sets are banded by min-max hashing. Paragraphs have LONG_BANDS bands of LONG_ROWS values: a pair at 0.8
+   collides with probability 1 - (1 - 0.8**LONG_ROWS)**LONG_BANDS, 0.9997, wherever the changed words stand. Pieces have BANDS bands
+   of one value and its place each. Overlapping pieces of one document share shingles, but at other places, so they don't collide.
+3. Pieces that share a band key are a candidate group, and so are the components of paragraphs that share keys. In a group Jaccard similarity of
+   0.8 or more is confirmed on full shingle sets. Groups larger than a block are dealt out as pairs of blocks (common.group_links), and no pairs
+   of classes are emitted but spanning links.
 4. Components of the links are clusters. A cluster counts where it has members in two documents.
 5. A document's paragraphs of counted clusters that overlap are one passage. It is kept in the document with the smallest doc_id
    of all that share any of its clusters, and is to be removed from the others.
 
-Defined cases: null, empty and short texts have no paragraphs. Rows that repeat a doc_id are one document; repeats inside one
+Defined cases: null, empty and short texts have no paragraphs. A near paragraph is one passage whole, with the words that differ. Rows that repeat a doc_id are one document; repeats inside one
 document don't count. Rows with a null doc_id take no part. Texts are read whole.
 """
 
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioforge.llm.common import U64, WordIds, components, group_links, materialise, mix64, shingle_hashes, slices, texts_as_bytes
+from folioforge.llm.common import U64, WordIds, components, group_links, leader_edges, materialise, mix64, shingle_hashes, slices, texts_as_bytes
 from folioforge.llm.minhash import MinMax, word_list
 
 GRAM, SPAN, WORDS = 3, 24, 28
 SHINGLE, PERCENT = 5, 80
 BANDS = 3
+LEAST, LONG_ROWS, LONG_BANDS = 12, 3, 12
 
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=U64)) | U64(1)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -75,12 +78,62 @@ def anchors(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def paragraph_hashes(words: np.ndarray) -> np.ndarray:
-    """Of paragraphs given as rows of WORDS word hashes."""
+    """Of pieces given as rows of WORDS word hashes."""
     return mix64((mix64(words + _PLACE) * _PLACE).sum(axis=1, dtype=U64))
 
 
+def long_hash(words: np.ndarray) -> int:
+    """Of a whole paragraph, given as its word hashes; signed."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(words.tobytes(), seed=len(words))
+    return h - (h >> 63 << 64)
+
+
+def borders(raw: bytes, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the lines, and of the blocks between blank lines, of all texts in a row; LEAST words or not."""
+    new = np.zeros(len(starts), dtype=bool)
+    new[:1] = True
+    new[1:] = doc[1:] != doc[:-1]
+    at = np.frombuffer(raw, dtype=np.uint8)
+    # "\r\n" and a lone "\r" each end one line
+    end = (at == 10) | (at == 13) & np.r_[at[1:] != 10, True]
+    breaks = np.concatenate([[0], np.cumsum(end)])[starts]  # before each word
+    gap = np.diff(breaks, prepend=breaks[:1])
+    return np.flatnonzero(new | (gap >= 1)), np.flatnonzero(new | (gap >= 2))
+
+
+def whole_paragraphs(raw: bytes, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and lengths of the paragraphs; a block of one line is that line."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    found = [np.stack([b, np.diff(np.r_[b, len(starts)])], axis=1) for b in borders(raw, starts, doc)]
+    both = np.unique(np.concatenate(found), axis=0)
+    both = both[both[:, 1] >= LEAST]
+    return both[:, 0], both[:, 1]
+
+
+def long_band_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, hashes: MinMax) -> np.ndarray:
+    """Paragraphs x LONG_BANDS: keys as those of MinMax.bands."""
+    if not len(first):
+        return np.zeros((0, LONG_BANDS), dtype=np.int64)
+    h = (shingle_hashes(words, SHINGLE) >> U64(32)).astype(np.uint32)
+    cuts = np.stack([first, first + n - SHINGLE + 1], axis=1)
+    order = np.argsort(first, kind="stable")
+    found = []
+    for x in hashes.permuted(h):
+        x = np.append(x, x[-1:])  # so that a paragraph may end with the last shingle
+        found.append([f.reduceat(x, cuts[order].reshape(-1))[::2] for f in (np.minimum, np.maximum)])
+    v = np.concatenate([np.stack([low for low, _ in found], axis=1), np.stack([high for _, high in found], axis=1)], axis=1).astype(U64)
+    v = v.reshape(len(first), LONG_BANDS, LONG_ROWS)
+    keys = mix64((mix64(v + hashes.place[0]) * hashes.place[0]).sum(axis=2, dtype=U64) ^ hashes.band[None, :]).view(np.int64)
+    out = np.empty_like(keys)
+    out[order] = keys
+    return out
+
+
 def band_keys(words: np.ndarray, hashes: MinMax) -> np.ndarray:
-    """Paragraphs x BANDS: minima and maxima of the permuted shingles of each paragraph, with their places in it."""
+    """Pieces x BANDS: minima and maxima of the permuted shingles of each piece, with their places in it."""
     h = (shingle_hashes(words, SHINGLE) >> U64(32)).astype(np.uint32)
     found = []
     for x in hashes.permuted(h):
@@ -89,40 +142,68 @@ def band_keys(words: np.ndarray, hashes: MinMax) -> np.ndarray:
     return mix64(mix64(v + hashes.place[0]) ^ hashes.band[None, :BANDS]).view(np.int64)
 
 
-def paragraphs_of(texts: list[bytes], ids: WordIds, hashes: MinMax) -> tuple[np.ndarray, ...]:
-    """text (its number), first (word), start and end (code points), h, bands of the paragraphs of some texts: the first of each class in a text."""
-    raw = b" ".join(texts)
-    starts, ends = word_places(raw)
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    doc = np.searchsorted(begin, starts, side="right") - 1
-    words = ids.of(raw.lower().split())
-    at = anchors(words, doc)
-    rows = words[at[:, None] + np.arange(WORDS)]
+class Texts:
+    """Words of some texts in a row, and where they stand."""
+
+    def __init__(self, texts: list[bytes], ids: WordIds):
+        self.raw = b" ".join(texts)
+        self.starts, self.ends = word_places(self.raw)
+        self.begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        self.doc = np.searchsorted(self.begin, self.starts, side="right") - 1
+        self.words = ids.of(self.raw.lower().split())
+        self.chars = np.concatenate([[0], np.cumsum((np.frombuffer(self.raw, dtype=np.uint8) & 0xC0) != 0x80)])
+
+    def places(self, at: np.ndarray, n: np.ndarray | int) -> tuple[np.ndarray, ...]:
+        """text (its number), first (word), start and end (code points) of n words from each place."""
+        own = self.doc[at]
+        first = at - np.searchsorted(self.doc, own)  # doc rises, so this is the text's first word
+        zero = self.chars[self.begin[own]]
+        return own, first, self.chars[self.starts[at]] - zero, self.chars[self.ends[at + n - 1]] - zero
+
+
+def pieces(t: Texts, hashes: MinMax, every: bool = False) -> tuple[np.ndarray, ...]:
+    """text (its number), first (word), start and end (code points), h, bands of the pieces: the first of each class in a text, or every one."""
+    at = anchors(t.words, t.doc)
+    rows = t.words[at[:, None] + np.arange(WORDS)]
     h = paragraph_hashes(rows).view(np.int64)
-    order = np.lexsort((at, h, doc[at]))
+    order = np.lexsort((at, h, t.doc[at]))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[at][order][1:] != doc[at][order][:-1])
-    keep = np.sort(order[new])
-    at, rows, h = at[keep], rows[keep], h[keep]
-    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
-    own = doc[at]
-    first = at - np.searchsorted(doc, own)  # doc rises, so this is the text's first word
-    return own, first, chars[starts[at]] - chars[begin[own]], chars[ends[at + WORDS - 1]] - chars[begin[own]], h, band_keys(rows, hashes)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (t.doc[at][order][1:] != t.doc[at][order][:-1])
+    if not every:
+        keep = np.sort(order[new])
+        at, rows, h = at[keep], rows[keep], h[keep]
+    return *t.places(at, WORDS), h, band_keys(rows, hashes)
+
+
+def paragraphs_of(texts: list[bytes], ids: WordIds, hashes: MinMax) -> tuple[np.ndarray, ...]:
+    """The pieces of some texts: the first of each class in a text."""
+    return pieces(Texts(texts, ids), hashes)
 
 
 def unit_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, first (word), start and end (code points), h (class), bands: one row a paragraph, the first of each class in a document."""
-    names = ["doc_id", "first", "start", "end", "h", "bands"]
+    """doc_id, first (word), n (words), start and end (code points), h (class), bands, whole: one row a paragraph (whole) or piece, the first of each class in a document."""
+    names = ["doc_id", "first", "n", "start", "end", "h", "bands", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes = WordIds(), MinMax(-(-BANDS // 2), 1)
+        ids, hashes, long_hashes = WordIds(), MinMax(-(-BANDS // 2), 1), MinMax(LONG_BANDS * LONG_ROWS // 2, LONG_ROWS)
 
-        def rows(docs: list[int], texts: list[bytes]) -> pa.RecordBatch:
-            text, first, start, end, h, bands = paragraphs_of(texts, ids, hashes)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1), pa.int64()))
-            columns = [pa.array(np.array(docs, dtype=np.int64)[text]), *(pa.array(c, pa.int32()) for c in (first, start, end)), pa.array(h, pa.int64()), lists]
+        def rows(docs: np.ndarray, place: tuple[np.ndarray, ...], n: np.ndarray, h: np.ndarray, bands: np.ndarray, whole: bool) -> pa.RecordBatch:
+            text, first, start, end = place
+            k = bands.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) * k + 1, k), pa.int32()), pa.array(bands.reshape(-1), pa.int64()))
+            columns = [pa.array(docs[text]), *(pa.array(c, pa.int32()) for c in (first, n, start, end)), pa.array(h, pa.int64()), lists, pa.array(np.full(len(h), whole))]
             return pa.RecordBatch.from_arrays(columns, names)
 
+        def both(docs: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            numbers, t = np.array(docs, dtype=np.int64), Texts(texts, ids)
+            *place, h, bands = pieces(t, hashes)
+            yield rows(numbers, tuple(place), np.full(len(h), WORDS), h, bands, False)
+            at, n = whole_paragraphs(t.raw, t.starts, t.doc)
+            h = np.array([long_hash(t.words[a : a + k]) for a, k in zip(at.tolist(), n.tolist(), strict=True)], dtype=np.int64)
+            seen = np.unique(np.stack([t.doc[at], h], axis=1), axis=0, return_index=True)[1] if len(at) else np.zeros(0, dtype=np.int64)
+            at, n, h = at[seen], n[seen], h[seen]
+            yield rows(numbers, t.places(at, n), n, h, long_band_keys(t.words, at, n, long_hashes), True)
+
         for batch in slices(batches):
             docs, texts, size = [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text")), strict=True):
@@ -131,20 +212,20 @@ def unit_rows(documents: DataFrame) -> DataFrame:
                     texts.append(text)
                     size += len(text)
                 if size >= AT_ONCE:
-                    yield rows(docs, texts)
+                    yield from both(docs, texts)
                     docs, texts, size = [], [], 0
             if texts:
-                yield rows(docs, texts)
+                yield from both(docs, texts)
 
     ok = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ok.mapInArrow(run, "doc_id long, first int, start int, end int, h long, bands array<long>")
+    return ok.mapInArrow(run, "doc_id long, first int, n int, start int, end int, h long, bands array<long>, whole boolean")
 
 
 def shingle_sets(place: DataFrame, documents: DataFrame) -> DataFrame:
-    """id, shingles (packed 64-bit hashes) of classes given as id, doc_id, first: where a member stands. Made again from the texts of those documents
-    alone; only words of paragraphs that are asked for are hashed.
+    """id, shingles (packed 64-bit hashes) of classes given as id, doc_id, first, n, whole: where a member stands. Made again from the texts of those
+    documents alone; only words of paragraphs and pieces that are asked for are hashed.
     """
-    by_doc = place.groupBy("doc_id").agg(F.collect_list(F.struct("first", "id")).alias("wanted"))  # no more than a document has
+    by_doc = place.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "whole", "id")).alias("wanted"))  # no more than a document has
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +235,14 @@ def shingle_sets(place: DataFrame, documents: DataFrame) -> DataFrame:
             sets: list[bytes] = []
             for text, own in zip(texts_as_bytes(b.column("text")), b.column("wanted").to_pylist(), strict=True):
                 words = word_list(text)
-                own = [w for w in own if w["first"] + WORDS <= len(words)]
+                own = [w for w in own if w["first"] + w["n"] <= len(words)]
+                for w in own:
+                    if w["whole"]:
+                        m = ids.of(words[w["first"] : w["first"] + w["n"]])
+                        if long_hash(m) == w["id"]:
+                            out.append(w["id"])
+                            sets.append(np.unique(shingle_hashes(m, SHINGLE)).tobytes())
+                own = [w for w in own if not w["whole"]]
                 if not own:
                     continue
                 m = ids.of([x for w in own for x in words[w["first"] : w["first"] + WORDS]]).reshape(-1, WORDS)
@@ -169,10 +257,15 @@ def shingle_sets(place: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def band_groups(units: DataFrame) -> DataFrame:
-    """id (class), grp (band key), size of the classes that share a key with another."""
-    keys = units.select(F.explode("bands").alias("grp"), F.col("h").alias("id"))
+    """id (class), grp, size of the classes that share a key with another. grp: a band key of pieces, a component of paragraphs."""
+    keys = units.where("NOT whole").select(F.explode("bands").alias("grp"), F.col("h").alias("id"))
     shared = keys.groupBy("grp").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("grp")
-    return keys.join(shared, "grp").distinct().withColumn("size", F.lit(WORDS - SHINGLE + 1).cast("long"))
+    of_pieces = keys.join(shared, "grp").distinct().withColumn("size", F.lit(WORDS - SHINGLE + 1).cast("long"))
+    # equal paragraphs have equal keys, so one row a class is enough
+    whole = materialise(units.where("whole").groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "whole", free=True)
+    linked = components(leader_edges(whole.select(F.explode("bands").alias("key"), F.col("h").alias("id"))))
+    of_whole = linked.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(whole.select(F.col("h").alias("id"), (F.col("n") - SHINGLE + 1).cast("long").alias("size")), "id")
+    return of_pieces.select("id", "grp", "size").unionByName(of_whole.select("id", "grp", "size"))
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
@@ -180,10 +273,10 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     units = materialise(unit_rows(documents), "paragraphs")
     members = materialise(band_groups(units), "members", free=True)
     near = members.select(F.col("id").alias("h")).distinct().withColumn("near", F.lit(True))
-    classes = units.groupBy("h").agg(F.min(F.struct("doc_id", "first")).alias("rep"), F.max("doc_id").alias("last"))
+    classes = units.groupBy("h").agg(F.min(F.struct("doc_id", "first", "n", "whole")).alias("rep"), F.max("doc_id").alias("last"))
     classes = classes.join(near, "h", "left").where("near OR rep.doc_id <> last").select("h", "near", "rep", "last")
     classes = materialise(classes, "classes", free=True)
-    place = classes.where("near").select(F.col("h").alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.first").alias("first"))
+    place = classes.where("near").select(F.col("h").alias("id"), F.col("rep.doc_id").alias("doc_id"), "rep.first", "rep.n", "rep.whole")
     sets = materialise(shingle_sets(place, documents), "shingles", free=True)
     unpacked = lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")]
     links = group_links(members, lambda tasks: tasks.join(sets, "id"), unpacked, PERCENT, most_items=2048)

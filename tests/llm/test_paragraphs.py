@@ -106,3 +106,30 @@ def test_query(spark, sf):
     may = {d for s in where.values() if len(s) > 1 for d in s}
     got = {r.doc_id for r in op4_paragraphs(spark, sf).collect()}
     assert must <= got <= may and must
+
+
+def test_whole_paragraphs_with_changed_words_are_linked(spark):
+    """One changed word wherever it stands leaves Jaccard 0.8 or more, in lines and in blocks of wrapped lines."""
+    rng = random.Random(9)
+    texts = []
+    for i, n in enumerate([51, 51, 60, 60, 60, 60, 100, 100, 400, 3000] * 4):
+        p = prose(rng, n)
+        q = list(p)
+        q[n // 2 if i < 20 else rng.randrange(n)] = "changed"
+        between = "\n\n" if i % 2 else "\n"
+        own = lambda: " ".join(prose(rng, 11))
+        wrap = lambda x, k: "\n".join(" ".join(x[j : j + k]) for j in range(0, n, k)) if i % 2 else " ".join(x)
+        texts += [own() + between + wrap(p, 10) + between + own(), wrap(q, 9) + between + own()]
+    short = " ".join(prose(rng, 13))
+    texts += [short + " x\n" + "a b c", "d\n" + short + " x", " ".join(prose(rng, 200))]
+    got = found(docs(spark, texts, parts=4))
+    assert set(got) == set(range(len(texts) - 1))
+    for i in range(0, 80, 2):
+        assert any(k and e - s >= len(texts[i]) - 300 for s, e, k in got[i]) and any(not k and e - s >= len(texts[i + 1]) - 200 for s, e, k in got[i + 1])
+
+
+def test_paragraph_borders():
+    raw = "a b\r\nc\n\n d\r\re\n \t\nf g".encode()
+    t = op.Texts([raw, b"h\ni"], op.WordIds())
+    lines, blocks = op.borders(t.raw, t.starts, t.doc)
+    assert lines.tolist() == [0, 2, 3, 4, 5, 7, 8] and blocks.tolist() == [0, 3, 4, 5, 7]
