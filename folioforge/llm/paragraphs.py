@@ -13,22 +13,24 @@ passage of SPAN + WORDS - 1 = 51 words or more has an anchor that it alone decid
    0.8 or more is confirmed on full shingle sets. Groups larger than a block are dealt out as pairs of blocks (common.group_links), and no pairs
    of classes are emitted but spanning links.
 4. Components of the links are clusters. A cluster counts where it has members in two documents.
-5. A document's paragraphs of counted clusters that overlap are one passage. It is kept in the document with the smallest doc_id
-   of all that share any of its clusters, and is to be removed from the others.
+5. A paragraph or piece of a counted cluster is kept in the document with the smallest doc_id of its own cluster and is to be removed
+   from the others, wherever it stands there. A passage to be removed is extended word by word, at its outer pieces, as far as the
+   first document with that piece goes on alike. Those of a document that overlap and have the same decision are one passage. Passages to be kept and
+   to be removed may overlap: what is to be removed goes, and a passage to be kept of which fewer than LEAST words are left isn't returned. What goes stands in a document with a smaller doc_id, where it is kept
+   or is itself a copy of one in a still smaller doc_id, so some copy stays.
 
 Defined cases: null, empty and short texts have no paragraphs. A near paragraph is one passage whole, with the words that differ. Rows that repeat a doc_id are one document; repeats inside one
-document don't count. Rows with a null doc_id take no part. Texts are read whole.
+document don't make a cluster count, but every one is returned where it does. Rows with a null doc_id take no part. Texts are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from folioforge.llm.common import U64, WordIds, components, group_links, leader_edges, materialise, mix64, shingle_hashes, slices, texts_as_bytes
 from folioforge.llm.minhash import MinMax, word_list
@@ -181,7 +183,7 @@ def paragraphs_of(texts: list[bytes], ids: WordIds, hashes: MinMax) -> tuple[np.
 
 
 def unit_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, first (word), n (words), start and end (code points), h (class), bands, whole: one row a paragraph (whole) or piece, the first of each class in a document."""
+    """doc_id, first (word), n (words), start and end (code points), h (class), bands, whole: one row a paragraph (whole) or piece, at every place."""
     names = ["doc_id", "first", "n", "start", "end", "h", "bands", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +198,10 @@ def unit_rows(documents: DataFrame) -> DataFrame:
 
         def both(docs: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             numbers, t = np.array(docs, dtype=np.int64), Texts(texts, ids)
-            *place, h, bands = pieces(t, hashes)
+            *place, h, bands = pieces(t, hashes, every=True)
             yield rows(numbers, tuple(place), np.full(len(h), WORDS), h, bands, False)
             at, n = whole_paragraphs(t.raw, t.starts, t.doc)
             h = np.array([long_hash(t.words[a : a + k]) for a, k in zip(at.tolist(), n.tolist(), strict=True)], dtype=np.int64)
-            seen = np.unique(np.stack([t.doc[at], h], axis=1), axis=0, return_index=True)[1] if len(at) else np.zeros(0, dtype=np.int64)
-            at, n, h = at[seen], n[seen], h[seen]
             yield rows(numbers, t.places(at, n), n, h, long_band_keys(t.words, at, n, long_hashes), True)
 
         for batch in slices(batches):
@@ -268,6 +268,137 @@ def band_groups(units: DataFrame) -> DataFrame:
     return of_pieces.select("id", "grp", "size").unionByName(of_whole.select("id", "grp", "size"))
 
 
+def by_document(rows: DataFrame, names: list[str], of_document: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """What of_document makes of each document's rows, given as tuples of the columns names, by first word. schema: doc_id, then what it makes."""
+    target = rows.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        doc, units, out, made = None, [], [], to_arrow_schema(target)
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(made)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], made.names)
+
+        for batch in batches:
+            for d, *x in zip(*(batch.column(k).to_pylist() for k in ("doc_id", *names)), strict=True):
+                if d != doc:
+                    out += [(doc, *r) for r in of_document(units)]
+                    doc, units = d, []
+                units.append(tuple(x))
+            if len(out) > 10_000:
+                yield batch_of()
+                out.clear()
+        out += [(doc, *r) for r in of_document(units)]
+        yield batch_of()
+
+    return rows.select("doc_id", *names).repartition("doc_id").sortWithinPartitions("doc_id", "first", "n").mapInArrow(run, target)
+
+
+def merged(units: list[tuple]) -> list[list]:
+    """first word, word behind, start, end, cluster of runs of units (first, n, start, end, cluster, ...) that overlap, and the units of each."""
+    out: list[list] = []
+    for u in units:
+        a, n, s, e, c = u[:5]
+        if out and a < out[-1][1]:
+            x = out[-1]
+            x[1], x[2], x[3], x[4] = max(x[1], a + n), min(x[2], s), max(x[3], e), min(x[4], c)
+            x[5].append(u)
+        else:
+            out.append([a, a + n, s, e, c, [u]])
+    return out
+
+
+def runs_of(units: list[tuple]) -> Iterator[tuple]:
+    """Runs of the same decision, with the first and the last piece (first, h, cluster, owner) of those to be removed."""
+    for keep in (False, True):
+        for a, b, s, e, c, own in merged([u for u in units if u[5] == keep]):
+            of = [] if keep else [u for u in own if not u[8]]
+            ends = [(u[0], u[6], u[4], u[7]) for u in (of[0], of[-1])] if of else [(None,) * 4] * 2
+            yield a, b - a, s, e, c, keep, *ends[0], *ends[1]
+
+
+def decided(units: list[tuple]) -> Iterator[tuple]:
+    """start, end, cluster, keep; of runs to be kept those of which LEAST words aren't removed, or that no removed one touches."""
+    gone, at = merged([u for u in units if not u[5]]), 0
+    yield from ((s, e, c, False) for _, _, s, e, c, _ in gone)
+    for a, b, s, e, c, _ in merged([u for u in units if u[5]]):
+        while at < len(gone) and gone[at][1] <= a:
+            at += 1
+        left, k = b - a, at
+        while k < len(gone) and gone[k][0] < b:
+            left -= min(b, gone[k][1]) - max(a, gone[k][0])
+            k += 1
+        if left >= LEAST or left == b - a:
+            yield s, e, c, True
+
+
+def contexts(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """The columns of wanted (doc_id, first, left, h, cluster_id, owner, rep: pieces, and the side asked for) with start and end, and up to
+    SPAN - 1 words from the piece outwards: their hashes (around) and outer offsets (edges). Made again from the texts.
+    """
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "left", "h", "cluster_id", "owner", "rep")).alias("wanted"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = {"doc_id": pa.int64(), "first": pa.int32(), "left": pa.bool_(), "h": pa.int64(), "cluster_id": pa.int64(), "owner": pa.int64(), "rep": pa.bool_()}
+    kinds |= {"start": pa.int32(), "end": pa.int32(), "around": pa.list_(pa.int64()), "edges": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for b in slices(batches):
+            out: dict[str, list] = {k: [] for k in kinds}
+            for doc, text, own in zip(b.column("doc_id").to_pylist(), texts_as_bytes(b.column("text")), b.column("wanted").to_pylist(), strict=True):
+                t = Texts([text or b""], ids)
+                for w in own:
+                    a, z = w["first"], w["first"] + WORDS
+                    if z > len(t.words) or paragraph_hashes(t.words[a:z][None, :]).view(np.int64)[0] != w["h"]:
+                        continue  # another text of the same doc_id
+                    at = np.arange(a - 1, max(-1, a - SPAN), -1) if w["left"] else np.arange(z, min(len(t.words), z + SPAN - 1))
+                    edges = t.chars[t.starts[at]] if w["left"] else t.chars[t.ends[at]]
+                    found = w | {"doc_id": doc, "start": int(t.chars[t.starts[a]]), "end": int(t.chars[t.ends[z - 1]])}
+                    found |= {"around": t.words[at].view(np.int64).tolist(), "edges": edges.tolist()}
+                    for k in kinds:
+                        out[k].append(found[k])
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, kind in kinds.items()], list(kinds))
+
+    schema = "doc_id long, first int, left boolean, h long, cluster_id long, owner long, rep boolean, start int, end int, around array<long>, edges array<int>"
+    return texts.join(by_doc, "doc_id").mapInArrow(run, schema)
+
+
+def extensions(runs: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame:
+    """Units (first, n, start, end, cluster_id, keep): the outer pieces of runs to be removed, as far as their words go on as they do at the first place of
+    the piece (reps: h, doc_id, first), and that place likewise, where it is kept. A passage of 51 words or more goes on for SPAN - 1 words at most.
+    """
+    cols = ["first", "h", "cluster_id", "owner"]
+    side = lambda x, left: runs.where(f"{x}_h IS NOT NULL").select("doc_id", *(F.col(f"{x}_{c}").alias(c) for c in cols), F.lit(left).alias("left"))
+    ends = side("l", True).unionByName(side("r", False))
+    of_reps = ends.select("h", "left", "cluster_id", "owner").distinct().join(reps, "h")
+    wanted = ends.withColumn("rep", F.lit(False)).unionByName(of_reps.withColumn("rep", F.lit(True)))
+    found = materialise(contexts(wanted, documents), "contexts", free=True)
+    own = ["doc_id", "first", "start", "end", "edges", "around"]
+    a = found.where("NOT rep").select("h", "left", "cluster_id", "owner", *own)
+    b = found.where("rep").select("h", "left", *(F.col(c).alias(f"b_{c}") for c in own)).dropDuplicates(["h", "left"])
+    same = F.expr("zip_with(around, b_around, (x, y) -> coalesce(x = y, false))")
+    stop = F.expr("array_position(same, false)")
+    x = a.join(b, ["h", "left"]).where("doc_id <> b_doc_id").withColumn("same", same)
+    x = x.withColumn("more", F.when(stop == 0, F.size("same")).otherwise(stop - 1).cast("int")).where("more > 0").drop("same", "around", "b_around")
+
+    def units(t: DataFrame, pre: str, keep: bool) -> DataFrame:
+        edge = F.expr(f"element_at({pre}edges, more)")
+        return t.select(
+            F.col(f"{pre}doc_id").alias("doc_id"),
+            F.when(F.col("left"), F.col(f"{pre}first") - F.col("more")).otherwise(F.col(f"{pre}first")).cast("int").alias("first"),
+            (F.lit(WORDS) + F.col("more")).cast("int").alias("n"),
+            F.when(F.col("left"), edge).otherwise(F.col(f"{pre}start")).alias("start"),
+            F.when(F.col("left"), F.col(f"{pre}end")).otherwise(edge).alias("end"),
+            "cluster_id",
+            F.lit(keep).alias("keep"),
+        )
+
+    furthest = x.where("owner = b_doc_id").groupBy("h", "left", "cluster_id", "b_doc_id", "b_first", "b_start", "b_end").agg(F.max("more").alias("more"), F.max("b_edges").alias("b_edges"))
+    return units(x, "", False).unionByName(units(furthest, "b_", True))
+
+
 def repeated_passages(documents: DataFrame) -> DataFrame:
     """doc_id, start, end (code points), cluster_id, keep: passages that other documents share."""
     units = materialise(unit_rows(documents), "paragraphs")
@@ -284,10 +415,11 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     clusters = materialise(classes.join(linked, "h", "left").select("h", F.coalesce("component", "h").alias("cluster_id"), F.col("rep.doc_id").alias("from"), F.col("last").alias("to")), "clusters", free=True)
     shared = clusters.groupBy("cluster_id").agg(F.min("from").alias("owner"), F.max("to").alias("z")).where("owner <> z").select("cluster_id", "owner")
     label = clusters.select("h", "cluster_id").join(shared, "cluster_id").select("h", "cluster_id", "owner")
-    found = units.select("doc_id", "start", "end", "h").join(label, "h")
-    w = W.partitionBy("doc_id").orderBy("start", "end")
-    new = F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    found = found.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return found.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("cluster_id").alias("cluster_id"), (F.min("owner") == F.col("doc_id")).alias("keep")
-    ).drop("run")
+    found = units.select("doc_id", "first", "n", "start", "end", "h", "whole").join(label, "h").withColumn("keep", F.col("owner") == F.col("doc_id"))
+    names = ["first", "n", "start", "end", "cluster_id", "keep"]
+    ends = ", ".join(f"{x}_first int, {x}_h long, {x}_cluster_id long, {x}_owner long" for x in "lr")
+    runs = by_document(found, [*names, "h", "owner", "whole"], runs_of, f"doc_id long, first int, n int, start int, end int, cluster_id long, keep boolean, {ends}")
+    runs = materialise(runs, "runs", free=True)
+    reps = classes.select("h", F.col("rep.doc_id").alias("doc_id"), F.col("rep.first").alias("first"))
+    every = runs.select("doc_id", *names).unionByName(extensions(runs, reps, documents))
+    return by_document(every, names, decided, "doc_id long, start int, end int, cluster_id long, keep boolean")

@@ -133,3 +133,44 @@ def test_paragraph_borders():
     t = op.Texts([raw, b"h\ni"], op.WordIds())
     lines, blocks = op.borders(t.raw, t.starts, t.doc)
     assert lines.tolist() == [0, 2, 3, 4, 5, 7, 8] and blocks.tolist() == [0, 3, 4, 5, 7]
+
+
+def test_chains_keep_one_copy_of_every_word(spark):
+    """Partly overlapping passages: what is removed from a document stays in another."""
+    rng = random.Random(10)
+    p = prose(rng, 150)
+    texts = [" ".join(prose(rng, 40) + w + prose(rng, 40)) for w in (p[:100], p, p[50:], p[20:140])]
+    got = found(docs(spark, texts, ids=[1, 2, 3, 4]))
+    left = set()
+    for i, t in enumerate(texts, 1):
+        gone = [(s, e) for s, e, k in got[i] if not k]
+        at = 0
+        for w in t.split(" "):
+            if not any(s <= at < e for s, e in gone):
+                left.add(w)
+            at += len(w) + 1
+    assert set(p) <= left and all(any(not k for _, _, k in got[i]) for i in (2, 3, 4)) and all(k for _, _, k in got[1])
+
+
+def test_every_occurrence_is_returned(spark):
+    rng = random.Random(11)
+    p = " ".join(prose(rng, 80))
+    line = " ".join(prose(rng, 15))
+    texts = [p + "\n" + line + "\n" + "x y", "a " + p + " b\n" + line + "\nc " + p + " d\n" + line]
+    got = found(docs(spark, texts))
+    assert all(any(not k and s <= m < e for s, e, k in got[1]) for at in (2, texts[1].rindex("c ") + 2) for m in (at + len(p) // 2,))
+    first, last = texts[1].index(line), texts[1].rindex(line)
+    assert first < last and all(any(not k and s <= a and e >= a + len(line) for s, e, k in got[1]) for a in (first, last))
+
+
+def test_matches_are_extended_to_their_full_extent(spark):
+    rng = random.Random(12)
+    texts, shared = [], []
+    for _ in range(40):
+        p = prose(rng, rng.randint(51, 120))
+        shared += [" ".join(p)] * 2
+        texts += [" ".join(prose(rng, 30)) + " " + " ".join(p) + " " + " ".join(prose(rng, 30)) for _ in range(2)]
+    got = found(docs(spark, texts, parts=4))
+    for i, (t, p) in enumerate(zip(texts, shared, strict=True)):
+        at = t.index(p)
+        assert any(s <= at and e >= at + len(p) and k == (i % 2 == 0) for s, e, k in got[i])
