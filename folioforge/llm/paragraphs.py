@@ -191,8 +191,9 @@ def unit_rows(documents: DataFrame) -> DataFrame:
 
         def rows(docs: np.ndarray, place: tuple[np.ndarray, ...], n: np.ndarray, h: np.ndarray, bands: np.ndarray, whole: bool) -> pa.RecordBatch:
             text, first, start, end = place
-            k = bands.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) * k + 1, k), pa.int32()), pa.array(bands.reshape(-1), pa.int64()))
+            new = np.zeros(len(h), dtype=bool)  # only the first of a class in a text has its bands
+            new[np.unique(np.stack([text, h]), axis=1, return_index=True)[1] if len(h) else []] = True
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(new * bands.shape[1])], pa.int32()), pa.array(bands[new].reshape(-1), pa.int64()))
             columns = [pa.array(docs[text]), *(pa.array(c, pa.int32()) for c in (first, n, start, end)), pa.array(h, pa.int64()), lists, pa.array(np.full(len(h), whole))]
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -262,7 +263,7 @@ def band_groups(units: DataFrame) -> DataFrame:
     shared = keys.groupBy("grp").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("grp")
     of_pieces = keys.join(shared, "grp").distinct().withColumn("size", F.lit(WORDS - SHINGLE + 1).cast("long"))
     # equal paragraphs have equal keys, so one row a class is enough
-    whole = materialise(units.where("whole").groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "whole", free=True)
+    whole = materialise(units.where("whole AND size(bands) > 0").groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "whole", free=True)
     linked = components(leader_edges(whole.select(F.explode("bands").alias("key"), F.col("h").alias("id"))))
     of_whole = linked.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(whole.select(F.col("h").alias("id"), (F.col("n") - SHINGLE + 1).cast("long").alias("size")), "id")
     return of_pieces.select("id", "grp", "size").unionByName(of_whole.select("id", "grp", "size"))
