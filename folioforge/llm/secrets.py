@@ -3,7 +3,8 @@
 Novelty of a candidate is the number of bytes that it adds to a frame compressed with a raw dictionary of common identifiers
 followed by the surrounding text. Prose, identifiers and repeats of what stands nearby add few bytes; keys add nearly
 one byte a character. The base patterns (assign, access, hex) are reported whatever their novelty. Other token-like strings
-after a word such as `key` or `bearer` are reported, as kind `novel`, when they are nearly incompressible.
+with a word such as `key` or `bearer` around them, on either side, are reported, as kind `novel`, when they are nearly incompressible. Token-like
+strings that follow one another with nothing but line ends, quotes and the like between (the lines of a PEM block) carry the context on.
 
 Defined cases: null and empty texts have no findings. Texts are read whole, whatever their length. Repeated rows are each returned.
 Offsets are code points of the original text, ends exclusive, of the whole match.
@@ -25,8 +26,8 @@ from folioforge.llm.common import slices, texts_as_bytes
 KINDS = ("assign", "access", "hex", "novel")
 #: Characters of surrounding text on each side that prime the dictionary.
 CONTEXT = 256
-#: Characters before a candidate in which a sensitive word must stand.
-REACH = 48
+#: Characters on each side of a candidate in which a sensitive word must stand.
+REACH = 256
 #: Marginal bytes a character from which a string is new.
 NOVEL = 0.75
 
@@ -49,6 +50,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so the length can stand in the pattern
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_GAP = r"""(?:\\[nr]|[\s"'\\+#*,;>|])"""  # between lines of one secret, in source code, too
+_BETWEEN = re.compile(_GAP + "*")
+_TAIL = re.compile(_GAP + "{1,64}([A-Za-z0-9+/]{1,15}={0,2})" + _GAP + "{0,64}-----END")
+_NAMED = re.compile(r"=+(?=[^=])")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 
 _ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -70,7 +75,7 @@ def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, int]]:
 
 
 def other_candidates(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Token-like strings with letters and digits, soon after a sensitive word, that no base span touches."""
+    """Token-like strings that no base span touches, with a sensitive word in or around them or after one that has it. A name and its value are two."""
     if not any(h in low for h in _SENSITIVE_HINTS):
         return []
     starts, ends = [], []  # base spans, joined where they overlap
@@ -80,20 +85,27 @@ def other_candidates(text: str, low: bytes, base: list[tuple[int, int, int]]) ->
         else:
             starts.append(a)
             ends.append(b)
-    out, seen = [], -1
-    for s in _SENSITIVE.finditer(text):
-        for m in _WORD.finditer(text, max(s.end(), seen), s.end() + REACH + 16):
-            if m.start() - s.end() > REACH:
-                break
-            start, end = _WORD.match(text, m.start()).span()
-            if start < seen:
-                continue
-            seen = end
-            t = text[start:end]
-            before = bisect_left(starts, end) - 1  # the last base span that begins before this ends
-            free = before < 0 or ends[before] <= start
-            if free and any(c.isdigit() for c in t) and any(c.isalpha() for c in t):
-                out.append((start, end))
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    begins = [a for a, _ in words]
+    out, last = [], -1  # the end of the last string in a sensitive context
+    for m in _WORD.finditer(text):
+        start, end = m.span()
+        carried = last >= 0 and _BETWEEN.fullmatch(text, last, start) is not None
+        k = bisect_left(begins, end + REACH) - 1  # the last word that begins within reach; words don't overlap
+        if not carried and (k < 0 or words[k][1] <= start - REACH):
+            last = -1
+            continue
+        last = end
+        named = _NAMED.search(text, start, end)
+        for a, b in [(start, named.start()), (named.end(), end)] if named else [(start, end)]:
+            t = text[a:b]
+            before = bisect_left(starts, b) - 1  # the last base span that begins before this ends
+            free = before < 0 or ends[before] <= a
+            if free and len(t) >= 16 and (carried or any(c.isdigit() for c in t) and any(c.isalpha() for c in t)):
+                out.append((a, b))
+        tail = _TAIL.match(text, end)  # the last line of a block may be short
+        if tail and tail.end(1) - tail.start(1) < 16:
+            out.append(tail.span(1))
     return out
 
 
