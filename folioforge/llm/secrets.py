@@ -1,9 +1,9 @@
 """Secret scans: patterns give candidates, dictionary-primed zstandard says how new each candidate is where it stands.
 
 Novelty of a candidate is the number of bytes that it adds to a frame compressed with a raw dictionary of common identifiers
-followed by the surrounding text. Prose, identifiers and repeats of what stands nearby add few bytes; keys add nearly
-one byte a character. The base patterns (assign, access, hex) are reported whatever their novelty. Other token-like strings
-with a word such as `key` or `bearer` around them, on either side, are reported, as kind `novel`, when they are nearly incompressible. Token-like
+followed by the surrounding text, without the candidate's own copies there. Prose and identifiers add few bytes; a key adds nearly
+one byte a character, or the entropy of its alphabet where it is long enough for its characters to be coded. The base patterns (assign, access, hex) are reported whatever their novelty. Other token-like strings
+with a word such as `key` or `bearer` around them, on either side, are reported, as kind `novel`, when they are incompressible but for their alphabet. Token-like
 strings that follow one another with nothing but line ends, quotes and the like between (the lines of a PEM block) carry the context on.
 
 Defined cases: null and empty texts have no findings. Texts are read whole, whatever their length. Repeated rows are each returned.
@@ -13,6 +13,7 @@ Offsets are code points of the original text, ends exclusive, of the whole match
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -28,8 +29,10 @@ KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = 256
 #: Characters on each side of a candidate in which a sensitive word must stand.
 REACH = 256
-#: Marginal bytes a character from which a string is new.
-NOVEL = 0.75
+#: Marginal bytes a character from which a string is new, if zstandard doesn't code its literals; it does from CODED characters on.
+NOVEL, CODED = 0.75, 64
+#: The part of its alphabet's entropy from which a longer string is new.
+RANDOM = 0.95
 
 # Words that make a context sensitive, and the common identifiers that prime the dictionary.
 SENSITIVE = ("auth", "bearer", "credential", "key", "passphrase", "passwd", "password", "private", "pwd", "secret", "signature", "token")
@@ -75,7 +78,7 @@ def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, int]]:
 
 
 def other_candidates(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Token-like strings that no base span touches, with a sensitive word in or around them or after one that has it. A name and its value are two."""
+    """Token-like strings of which base spans leave 16 characters or more, with a sensitive word in or around them or after one that has it. A name and its value are two."""
     if not any(h in low for h in _SENSITIVE_HINTS):
         return []
     starts, ends = [], []  # base spans, joined where they overlap
@@ -99,9 +102,9 @@ def other_candidates(text: str, low: bytes, base: list[tuple[int, int, int]]) ->
         named = _NAMED.search(text, start, end)
         for a, b in [(start, named.start()), (named.end(), end)] if named else [(start, end)]:
             t = text[a:b]
-            before = bisect_left(starts, b) - 1  # the last base span that begins before this ends
-            free = before < 0 or ends[before] <= a
-            if free and len(t) >= 16 and (carried or any(c.isdigit() for c in t) and any(c.isalpha() for c in t)):
+            over = range(bisect_left(ends, a + 1), bisect_left(starts, b))  # base spans that touch this
+            free = len(t) - sum(min(b, ends[i]) - max(a, starts[i]) for i in over)
+            if free >= 16 and (carried or any(c.isdigit() for c in t) and any(c.isalpha() for c in t)):
                 out.append((a, b))
         tail = _TAIL.match(text, end)  # the last line of a block may be short
         if tail and tail.end(1) - tail.start(1) < 16:
@@ -109,6 +112,19 @@ def other_candidates(text: str, low: bytes, base: list[tuple[int, int, int]]) ->
     return out
 
 
+_ALPHABETS = [(re.compile(p), n) for p, n in (("[0-9A-F]+", 16), ("[0-9a-f]+", 16), ("[0-9A-Fa-f]+", 22), ("[A-Z2-7]+", 32), ("[a-z2-7]+", 32), ("[A-Z0-9]+", 36), ("[a-z0-9]+", 36), ("[A-Za-z0-9]+", 62))]
+
+
+def least_new(t: str) -> float:
+    """Marginal bytes from which a candidate is new: never above what a random string of its alphabet has."""
+    if len(t) < CODED:
+        return NOVEL * len(t)
+    body = t.rstrip("=")
+    plain = re.sub("[+/_=-]", "", body)
+    letters = next((n for p, n in _ALPHABETS if p.fullmatch(plain)), 64) + len(set(body) - set(plain))
+    return min(NOVEL, RANDOM * math.log2(letters) / 8) * len(body)
+
+
 class Novelty:
     """Marginal compressed bytes of a candidate, given identifiers and the text around it."""
 
@@ -119,7 +135,10 @@ class Novelty:
         self.params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def of(self, text: str, start: int, end: int) -> float:
-        around = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
+        t = text[start:end]
+        wide = CONTEXT + len(t)  # a copy that begins or ends in the context stands in this whole
+        clear = lambda x: x.replace(t, " " * len(t))
+        around = clear(text[max(0, start - wide) : start])[-CONTEXT:] + " " + clear(text[end : end + wide])[:CONTEXT]
         primed = self.zstd.ZstdCompressionDict(self.prime + around.encode("utf-8", "surrogatepass"), dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
         squeeze = self.zstd.ZstdCompressor(dict_data=primed, compression_params=self.params)
         body = text[start:end].encode("utf-8", "surrogatepass")
@@ -135,7 +154,7 @@ def scan(text: str | None, raw: bytes | None, novelty: Novelty) -> list[tuple[in
     out = [(s, k, e, novelty.of(text, s, e)) for s, k, e in base]
     for s, e in other_candidates(text, low, base):
         n = novelty.of(text, s, e)
-        if n >= NOVEL * (e - s):
+        if n >= least_new(text[s:e]):
             out.append((s, 3, e, n))
     return sorted(out)
 

@@ -99,3 +99,21 @@ def test_context_on_both_sides():
         assert novel(text) == [(text.index(t), text.index(t) + 40)]
     assert novel(f"{t} {far * 5} password {far * 5} {t}") == []
     assert novel(f"my_credential={t}==") == [(14, 56)]
+
+
+def test_a_key_that_stands_twice_does_not_hide_itself():
+    rng = random.Random(3)
+    for n in (24, 40, 100, 240):
+        t = token(rng, BASE64[:62], n)
+        text = f"Authorization: Bearer {t}\nthen again\nAuthorization: Bearer {t}\n"
+        assert novel(text) == [(text.index(t), text.index(t) + n), (text.rindex(t), text.rindex(t) + n)]
+
+
+def test_long_keys_of_small_alphabets_are_new():
+    rng = random.Random(4)
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", BASE64[:62], BASE64, "0123456789abcdefABCDEF", BASE64[:62] + "-_"):
+        for n in (20, 63, 64, 72, 128, 256, 1000, 5000):
+            for _ in range(10):
+                t = token(rng, alphabet, n)
+                assert novel(f"the private one is {t} here") == [(19, 19 + n)], (len(alphabet), n)
+    assert novel("the private one is " + "ABCDEF0123456789" * 20) == []
