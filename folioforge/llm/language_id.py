@@ -124,7 +124,7 @@ def sample(documents: DataFrame, settings: Settings) -> DataFrame:
     learn = "lang IS NOT NULL AND pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 5) <> 0"
     df = documents.select("doc_id", "lang", "text").where(f"text IS NOT NULL AND {learn}")
     df = df.withColumn("key", F.xxhash64(F.lit(11), "doc_id"))
-    counts = documents.where(learn).groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.lit(2.6 * settings.per_language) / F.col("n"))
+    counts = df.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.lit(2.6 * settings.per_language) / F.col("n"))
     # one row a language: bounded by the number of languages, which the model holds anyway
     near = df.join(F.broadcast(counts), "lang").where(F.col("key") / F.lit(2.0**64) + 0.5 <= F.col("share"))
     rank = W.partitionBy("lang").orderBy("key", F.xxhash64("text"))

@@ -39,3 +39,9 @@ def test_held_out_rows_are_not_learned_from(spark):
     texts = [f"word{i} alpha beta" for i in range(50)]
     got = op.sample(docs(spark, texts), op.Settings()).collect()
     assert {r.text for r in got} == {t for i, t in enumerate(texts) if not op.held_out(i)}
+
+
+def test_rows_without_text_do_not_thin_the_sample(spark):
+    texts = [None] * 4000 + [f"word{i} alpha beta" for i in range(100)]
+    want = {t for i, t in enumerate(texts) if t and not op.held_out(i)}
+    assert {r.text for r in op.sample(docs(spark, texts), op.Settings(per_language=200)).collect()} == want
