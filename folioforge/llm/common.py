@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,10 +18,12 @@ U64 = np.uint64
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session has none, as in tests."""
+    """The folder that driver and executors share. Set here only where a local session has none, as in tests; on a cluster a session without one raises ValueError."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="folioforge-scratch-")
@@ -29,23 +31,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+#: Spark drops the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
 
-    The table goes when the driver's JVM ends; the result of an operator may still be reading it until then. free: let Spark
-    drop the shuffle files behind the table now. It does so once the JVM has collected the plan that wrote them; the first
-    round lets go of Python's handles, the second collects.
+    The shuffle files behind it go with the write. The table goes when it is discarded, or else when the driver's JVM ends, as the result of an
+    operator may be reading it until then; one that a killed driver leaves is under folioforge/ in the shared folder.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/folioforge/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    for _ in range(2 * free):
-        gc.collect()
-        jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch__ = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(t.scratch__)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -140,16 +156,18 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     few = 2 * e.sparkSession.sparkContext.defaultParallelism  # files of a round's tables: they are many rounds, of few bytes a row
-    e = materialise(e.coalesce(few), "edges", free=True)
+    e = materialise(e.coalesce(few), "edges")
     before = None
     while True:
         up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = e.unionByName(up).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # written, as the skew join splits a hub only where both sides come from shuffles of the join's own
-        large = up.join(materialise(least.coalesce(few), "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = materialise(least.coalesce(few), "least")
+        large = up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct().coalesce(few), "edges")
+        old, e = e, materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct().coalesce(few), "edges")
+        discard(old, least)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break
@@ -237,7 +255,7 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 def verified_links(items: DataFrame, make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int) -> DataFrame:
     """(u, v): links inside tasks, confirmed on full sets; their components are those of all links.
 
-    items: rows of _tasks with the columns from which make_sets makes the sets. Pairs are never emitted but where they link two components of a task.
+    items: rows of task, grp, lo, hi, mine, id (an item of block `mine` in the task of blocks lo and hi) with the columns from which make_sets makes the sets. Pairs are never emitted but where they link two components of a task.
     """
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = items.repartition(parts, "task").sortWithinPartitions("task", "grp", "lo", "hi", "id")
@@ -261,57 +279,77 @@ def verified_links(items: DataFrame, make_sets: Callable[[pa.Table], list[np.nda
     return x.mapInArrow(run, "u long, v long")
 
 
-def _tasks(x: DataFrame, others: Column) -> DataFrame:
-    """task, grp, lo, hi, mine, id: a member of block `mine` goes to the task of its block and each of the others."""
-    x = x.withColumn("other", F.explode(others))
-    x = x.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    return x.select(F.xxhash64("grp", "lo", "hi").alias("task"), "grp", "lo", "hi", "mine", "id")
+#: Rows of fixed width (five longs at most, so 40 MB) up to which a table is sent to every task.
+MOST_SENT = 1_000_000
+
+
+def group_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with few, which has a short row of fixed width a key. few is counted: up to MOST_SENT rows go to every task, so that rows aren't
+    dealt by key at all; more are joined by a shuffle, in which the skew join of AQE splits a hot key's rows.
+    """
+    few = materialise(few, "groups")
+    return rows.join(F.broadcast(few) if few.count() <= MOST_SENT else few, key, how)
+
+
+def shared_buckets(keys: DataFrame) -> DataFrame:
+    """key, id, size, lead: the rows of band keys that several ids share, with the least of these. keys: key, id, size.
 
+    Counts come from partial sums, so a key with a third of all rows is no more than a row a task. Of keys with the very same ids (by number, ends
+    and two sums of hashes), as the bands of near copies often are, one stays.
+    """
+    sums = [F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 31))).alias("s")]
+    found = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("n"), *sums).where("lead <> last")
+    one = found.groupBy("lead", "last", "n", "x", "s").agg(F.min("key").alias("key")).select("key", "lead")
+    return group_join(keys, one, "key")
+
+
+def _dealt(members: DataFrame, blocks: Column) -> DataFrame:
+    """members (grp, id, size) with block and blocks: large groups are cut by hash into as many blocks as `blocks`, of n members and z elements, says."""
+    total = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z")).select("grp", blocks.alias("blocks")).where("blocks > 1")
+    x = group_join(members, total, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return x.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
 
-def group_links(
-    members: DataFrame, attach: Callable[[DataFrame], DataFrame], make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int, most_items: int = 256, most_size: int = 250_000
+
+def linked(
+    buckets: DataFrame, attach: Callable[[DataFrame], DataFrame], make_sets: Callable[[pa.Table], list[np.ndarray]], percent: int, most_items: int = 256, most_size: int = 250_000
 ) -> DataFrame:
-    """(u, v): links inside candidate groups, confirmed on full sets, whose components are those of all links.
-
-    members: id, grp, size (elements of the id's set), all long. attach adds to rows of task, grp, lo, hi, mine, id the columns from which
-    make_sets makes the sets. A group that is small is one task. A large one is cut by hash into blocks of about most_items items and
-    most_size elements, and a task compares two blocks (lo <= hi, mine the item's own), so no task holds more, whatever the group's size. In a first
-    round all blocks meet block 0, which is enough to put the copies of one text into one component. Members of a group's largest
-    component needn't be compared with each other, so in the second round only blocks of the rest meet all others: the work grows with the group's size
-    and with how many of its members are apart, not with the square of a group of copies.
+    """(node, component) of the ids that have a link: components of all links inside buckets, each confirmed on full sets.
+
+    buckets: of shared_buckets. attach adds to rows of task, grp, lo, hi, mine, id the columns from which make_sets makes the sets.
+
+    First round: each id meets the least ids of its buckets, in tasks of a leader and about most_items of its followers (most_size elements), all of
+    which are compared. That is enough for most groups of copies, and no task holds more, whatever the bucket's size. Second round: buckets whose members
+    are not all in one component yet. There the members outside the bucket's largest component (the rest) meet each other and that component, in pairs of
+    blocks; those inside needn't meet again. Nothing is compared that shares no bucket but by being in one task, so a chain of unlike members costs what
+    its buckets cost, and a bucket's work grows with its size times the number of members that are apart.
     """
     blocks = lambda n, z: F.greatest(F.ceil(n / most_items), F.ceil(z / most_size)).cast("int")
-    total = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("z")).where("n > 1")
-    x = members.join(total.select("grp", blocks(F.col("n"), F.col("z")).alias("blocks")), "grp")
-    x = materialise(x.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")), "blocks", free=True)
-    to_all = F.sequence(F.lit(0), F.col("blocks") - 1)
-    first = _tasks(x, F.when(F.col("mine") == 0, to_all).otherwise(F.array(F.lit(0))))
-    links = materialise(verified_links(attach(first), make_sets, percent), "links", free=True)
-    large = x.where("blocks > 1")
-    if large.isEmpty():
-        return links
-    y = large.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    follow = buckets.where("id <> lead").select(F.col("lead").alias("grp"), "id", "size").distinct()
+    x = materialise(_dealt(follow, blocks(F.col("n"), F.col("z"))).select("grp", "block", "id"), "followers")
+    x = x.unionByName(x.select("grp", "block", F.col("grp").alias("id")).distinct())
+    own = F.col("block").alias
+    first = x.select(F.xxhash64("grp", "block").alias("task"), "grp", own("lo"), own("hi"), own("mine"), "id")
+    links = materialise(verified_links(attach(first), make_sets, percent), "links")
+    done = components(links)
+    y = buckets.select(F.col("key").alias("grp"), "id", "size").join(done.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    y = materialise(y, "labels")
+    mixed = y.groupBy("grp").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("grp")
+    y = materialise(group_join(y, mixed, "grp"), "mixed")
+    if y.isEmpty():
+        return done
     most = y.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
-    y = materialise(y.join(most, "grp").withColumn("apart", F.col("component") != F.col("most")).drop("component", "most"), "apart")
+    y = group_join(y, most, "grp").withColumn("apart", F.col("component") != F.col("most")).select("grp", "id", "size", "apart")
     size = y.groupBy("grp", "apart").agg(blocks(F.count("*"), F.sum("size")).alias("k"))
     size = size.groupBy("grp").agg(F.max(F.when(F.col("apart"), F.col("k"))).alias("rest"), F.max(F.when(~F.col("apart"), F.col("k"))).alias("same"))
-    y = y.join(size.where("rest IS NOT NULL"), "grp")
+    y = group_join(y, size, "grp")
     # blocks of the rest come first, then those of the largest component
-    own = F.pmod(F.xxhash64("id", F.lit(8)), F.when(F.col("apart"), F.col("rest")).otherwise(F.col("same"))).cast("int")
-    block = F.when(F.col("apart"), own).otherwise(F.col("rest") + own)
-    to_rest = F.sequence(F.lit(0), F.col("rest") - 1)
-    to_both = F.sequence(F.lit(0), F.col("rest") + F.col("same") - 1)
-    second = _tasks(y.withColumn("mine", block), F.when(F.col("apart"), to_both).otherwise(to_rest))
-    return links.unionByName(verified_links(attach(second), make_sets, percent))
-
-
-def leader_edges(keys: DataFrame) -> DataFrame:
-    """(u, v): each id with the least id of every key that it shares. keys: key, id.
-
-    One row per id and key at most, however many ids share the key.
-    """
-    lead = keys.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("z")).where("v <> z").select("key", "v")
-    return keys.join(lead, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    part = F.pmod(F.xxhash64("id", F.lit(8)), F.when(F.col("apart"), F.col("rest")).otherwise(F.col("same"))).cast("int")
+    y = y.withColumn("mine", F.when(F.col("apart"), part).otherwise(F.col("rest") + part))
+    to_both, to_rest = (F.sequence(F.lit(0), n - 1) for n in (F.col("rest") + F.col("same"), F.col("rest")))
+    y = y.withColumn("other", F.explode(F.when(F.col("apart"), to_both).otherwise(to_rest)))
+    y = y.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    second = y.select(F.xxhash64("grp", "lo", "hi").alias("task"), "grp", "lo", "hi", "mine", "id")
+    return components(links.unionByName(verified_links(attach(second), make_sets, percent)))
 
 
-__all__ = ["WordIds", "components", "group_links", "group_stream", "leader_edges", "materialise", "mix64", "scratch_dir", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]
+__all__ = ["WordIds", "components", "discard", "group_stream", "linked", "materialise", "mix64", "scratch_dir", "shared_buckets", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]

@@ -5,16 +5,17 @@ The steps, none of which collects ids, links or groups to the driver or a hot gr
 
 1. Each document's distinct shingles give its set's size, a 128-bit hash of the whole set, and band hashes. Written once.
 2. Documents with equal sets are one class; from here on a class is one item, named by its smallest doc_id.
-3. Bands: classes that share a band hash are joined to the least of them, one row a member. Components of these are candidate groups.
-4. Inside the groups, links are confirmed on full sets, which are made again from the texts of the members alone.
-   Large groups are dealt out as pairs of blocks (common.group_links).
+3. Bands: classes that share a band hash are a bucket. Nothing but the band keys of classes is shuffled for that.
+4. Inside the buckets links are confirmed on full sets, made again from the texts of the members alone: first each class with the least of its buckets,
+   then, in buckets that aren't in one component by that, the rest (common.linked). No group is closed over its candidate links.
 5. Components of the links, then each class's component goes back to its documents.
 
 With BANDS bands of ROWS values each, a pair at J is a candidate with probability 1 - (1 - J**ROWS)**BANDS at least: at 0.8, all but 6 in a
-million; at 0.3, 3 in a hundred. Inside a group all pairs count, so a group's other members often bring in the rest.
+million; at 0.3, 3 in a hundred.
 
 Defined cases: a null, empty or blank text has an empty set, is linked with nothing and is its own component. With fewer words than a shingle
-the whole sequence is the one shingle. Rows that repeat a doc_id are one node and are each returned. A row with a null doc_id has a null component and is kept.
+the whole sequence is the one shingle. Texts are read whole, whatever their length; ties can't arise, as links are exact. An empty table gives an empty result.
+Other columns aren't read, so their names may clash. doc_id must be integral, as component_id is the least of a group. Rows that repeat a doc_id are one node and are each returned. A row with a null doc_id has a null component and is kept.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import U64, WordIds, components, group_links, leader_edges, materialise, mix64, shingle_hashes, slices, texts_as_bytes
+from folioforge.llm.common import U64, WordIds, linked, materialise, mix64, shared_buckets, shingle_hashes, slices, texts_as_bytes
 
 ROWS, BANDS = 6, 40
 PERMUTATIONS = ROWS * BANDS // 2
@@ -113,20 +114,17 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
     found = materialise(signatures(documents, shingle), "signatures")
     classes = found.where("a IS NOT NULL AND doc_id IS NOT NULL").groupBy("a", "b")
-    classes = materialise(classes.agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes", free=True)
-    edges = leader_edges(classes.select(F.explode("bands").alias("key"), "id"))
-    groups = materialise(components(edges).select(F.col("node").alias("id"), F.col("component").alias("grp")), "groups")
+    classes = materialise(classes.agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
+    buckets = materialise(shared_buckets(classes.select(F.explode("bands").alias("key"), "id", "size")), "buckets")
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = materialise(texts.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
 
     def make_sets(t: pa.Table) -> list[np.ndarray]:
         ids = WordIds()
         return [shingle_set(x, ids, shingle) for x in texts_as_bytes(t.column("text"))]
 
-    members = groups.join(classes.select("id", "size"), "id")
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    links = group_links(members, lambda tasks: tasks.join(texts, "id"), make_sets, percent)
-    linked = components(links)  # writes the links first
-    label = classes.join(linked, classes["id"] == linked["node"], "left").select("a", "b", F.coalesce("component", "id").alias("label"), "copies", "id")
-    label = label.where("copies > 1 OR label <> id").select("a", "b", "label")
+    label = classes.join(linked(buckets, lambda tasks: tasks.join(texts, "id"), make_sets, percent), F.col("id") == F.col("node"), "left")
+    label = label.select("a", "b", F.coalesce("component", "id").alias("label"), "copies", "id").where("copies > 1 OR label <> id").select("a", "b", "label")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     out = found.select("doc_id", "n_shingles", "a", "b").join(label, ["a", "b"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

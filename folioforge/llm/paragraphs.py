@@ -1,26 +1,29 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are the lines of a text and its blocks between blank lines, of LEAST words or more, however long. For passages that begin or end
-inside a paragraph there are pieces besides, cut by content, so that a passage is cut alike wherever it stands: a piece is
-the WORDS words from an anchor, and an anchor is a place whose 3-gram hash is the least of some SPAN 3-grams in a row. A
-passage of SPAN + WORDS - 1 = 51 words or more has an anchor that it alone decides, with a whole piece after it.
-
-1. Paragraphs with equal words are one class, and so are pieces.
-2. Classes' five-word shingle sets are banded by min-max hashing. Paragraphs have LONG_BANDS bands of LONG_ROWS values: a pair at 0.8
-   collides with probability 1 - (1 - 0.8**LONG_ROWS)**LONG_BANDS, 0.9997, wherever the changed words stand. Pieces have BANDS bands
-   of one value and its place each. Overlapping pieces of one document share shingles, but at other places, so they don't collide.
-3. Pieces that share a band key are a candidate group, and so are the components of paragraphs that share keys. In a group Jaccard similarity of
-   0.8 or more is confirmed on full shingle sets. Groups larger than a block are dealt out as pairs of blocks (common.group_links), and no pairs
-   of classes are emitted but spanning links.
-4. Components of the links are clusters. A cluster counts where it has members in two documents.
-5. A paragraph or piece of a counted cluster is kept in the document with the smallest doc_id of its own cluster and is to be removed
-   from the others, wherever it stands there. A passage to be removed is extended word by word, at its outer pieces, as far as the
-   first document with that piece goes on alike. Those of a document that overlap and have the same decision are one passage. Passages to be kept and
-   to be removed may overlap: what is to be removed goes, and a passage to be kept of which fewer than LEAST words are left isn't returned. What goes stands in a document with a smaller doc_id, where it is kept
-   or is itself a copy of one in a still smaller doc_id, so some copy stays.
-
-Defined cases: null, empty and short texts have no paragraphs. A near paragraph is one passage whole, with the words that differ. Rows that repeat a doc_id are one document; repeats inside one
-document don't make a cluster count, but every one is returned where it does. Rows with a null doc_id take no part. Texts are read whole.
+Paragraphs are the lines of a text and its blocks between blank lines, of `least` words or more, however long, and the whole text, of a shingle's words or
+more. For passages that begin or end inside a paragraph there is an exact search besides, for runs of PASSAGE words or more.
+
+Paragraphs:
+1. Paragraphs with equal words are one class. Classes' five-word shingle sets are banded by min-max hashing: BANDS bands of ROWS values. A pair at
+   Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9998, wherever its changed words stand.
+2. Classes that share a band are joined, and Jaccard similarity of 0.8 or more is confirmed on full shingle sets (common.linked). Components of the links
+   are clusters. A cluster counts where it has members in two documents.
+
+Passages:
+3. Texts are cut by content: an anchor is a place whose 3-gram hash is the least of SPAN 3-grams in a row, and a piece is the PIECE words from there, so
+   any PASSAGE words in a row hold a whole piece. Pieces that stand in one document alone are dropped by a count before anything else is looked at.
+4. Of the other documents, all windows of PASSAGE words that hold a piece which is shared are hashed and counted. Windows of two documents are shared passages, every one of them and nothing else.
+
+Decision: a paragraph, or a window, is kept in the document with the smallest doc_id of its cluster, or of its own, and is to be removed from the
+others, wherever it stands there. Units of a document that overlap and have the same decision are one passage. Passages to be kept and to be removed
+may overlap: what is to be removed goes, and a passage to be kept of which fewer than LEFT words are left isn't returned. What goes stands in a document
+with a smaller doc_id, where it is kept or is itself a copy of one in a still smaller doc_id, so some copy stays. cluster_id is that of the cluster; of a passage
+the least hash of its windows; of units that make one passage the least.
+
+Defined cases: null and empty texts have no paragraphs, texts of fewer words than a shingle neither. A near paragraph is one passage whole, with the words that
+differ. Rows that repeat a doc_id are one document; repeats inside one document don't make a cluster count, but every one is returned where it does. Rows
+with a null doc_id take no part. Texts are read whole, whatever their length. Ties: the least hash names a cluster, the least doc_id keeps it. An empty
+table gives no rows. Other columns aren't read, so their names may clash. doc_id must be integral.
 """
 
 from __future__ import annotations
@@ -32,16 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import U64, WordIds, components, group_links, leader_edges, materialise, mix64, shingle_hashes, slices, texts_as_bytes
-from folioforge.llm.minhash import MinMax, word_list
+from folioforge.llm.common import U64, WordIds, linked, materialise, mix64, shared_buckets, shingle_hashes, slices, texts_as_bytes
+from folioforge.llm.minhash import MinMax
 
-GRAM, SPAN, WORDS = 3, 24, 28
+#: Words of a passage; of a piece, which any passage holds; 3-grams among which an anchor is the least.
+GRAM, PIECE, PASSAGE = 3, 16, 51
+SPAN = PASSAGE - PIECE + 1
 SHINGLE, PERCENT = 5, 80
-BANDS = 3
-LEAST, LONG_ROWS, LONG_BANDS = 12, 3, 12
+ROWS, BANDS = 3, 12
+#: Words from which lines and blocks are paragraphs, unless a caller says otherwise. Shorter lines (headings, licence notices, set phrases) recur in texts that share nothing else.
+LEAST = 20
+LEFT = 12
 
-_PLACE = mix64(np.arange(1, WORDS + 1, dtype=U64)) | U64(1)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: An odd base for hashes of windows, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: Bytes of text that are worked on at a time (a longer text alone), and the bits of a key that hold a place: more words than a text can have.
 AT_ONCE, PLACE_BITS = 4 << 20, 30
@@ -54,10 +63,10 @@ def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Places of 3-grams that are the least of SPAN in a row, the first of equals, with WORDS words from there on.
+    """Places of 3-grams that are the least of SPAN in a row, the first of equals, with PIECE words from there on.
 
-    words and doc: the hashes of all words of some documents in a row, and the document of each. Windows and paragraphs stay
-    inside a document. Minima of 24 in a row come from minima of 2, 4, 8 and 16.
+    words and doc: the hashes of all words of some documents in a row, and the document of each. Runs and pieces stay
+    inside a document. Minima of SPAN in a row come from minima of 2, 4, 8 and so on.
     """
     n = len(words) - GRAM + 1
     windows = n - SPAN + 1
@@ -75,25 +84,30 @@ def anchors(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
         size *= 2
     whole = doc[:windows] == doc[SPAN + GRAM - 2 :][:windows]
     at = np.unique((low[whole] & U64((1 << PLACE_BITS) - 1)).astype(np.int64))
-    at = at[at + WORDS <= len(words)]
-    return at[doc[at] == doc[at + WORDS - 1]]
+    at = at[at + PIECE <= len(words)]
+    return at[doc[at] == doc[at + PIECE - 1]]
 
 
-def paragraph_hashes(words: np.ndarray) -> np.ndarray:
-    """Of pieces given as rows of WORDS word hashes."""
-    return mix64((mix64(words + _PLACE) * _PLACE).sum(axis=1, dtype=U64))
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words, by sums of a polynomial: a run's doesn't depend on its place."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, dtype=U64)
+    up, down = (np.cumprod(np.concatenate([np.ones(1, dtype=U64), np.full(n - 1, b, dtype=U64)]), dtype=U64) for b in (_BASE, _INVERSE))
+    total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix64(words) * up, dtype=U64)])
+    return mix64((total[size:] - total[:-size]) * down[: n - size + 1])
 
 
-def long_hash(words: np.ndarray) -> int:
-    """Of a whole paragraph, given as its word hashes; signed."""
+def class_hash(words: np.ndarray) -> int:
+    """Of a paragraph, given as its word hashes; signed."""
     import xxhash
 
     h = xxhash.xxh3_64_intdigest(words.tobytes(), seed=len(words))
     return h - (h >> 63 << 64)
 
 
-def borders(raw: bytes, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the lines, and of the blocks between blank lines, of all texts in a row; LEAST words or not."""
+def borders(raw: bytes, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the lines, of the blocks between blank lines, and of the texts, of all texts in a row."""
     new = np.zeros(len(starts), dtype=bool)
     new[:1] = True
     new[1:] = doc[1:] != doc[:-1]
@@ -102,23 +116,23 @@ def borders(raw: bytes, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
     end = (at == 10) | (at == 13) & np.r_[at[1:] != 10, True]
     breaks = np.concatenate([[0], np.cumsum(end)])[starts]  # before each word
     gap = np.diff(breaks, prepend=breaks[:1])
-    return np.flatnonzero(new | (gap >= 1)), np.flatnonzero(new | (gap >= 2))
+    return np.flatnonzero(new | (gap >= 1)), np.flatnonzero(new | (gap >= 2)), np.flatnonzero(new)
 
 
-def whole_paragraphs(raw: bytes, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and lengths of the paragraphs; a block of one line is that line."""
-    if not len(starts):
+def paragraphs(t: Texts, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and lengths of the paragraphs; lines, blocks and whole texts that are the same are one."""
+    if not len(t.starts):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    found = [np.stack([b, np.diff(np.r_[b, len(starts)])], axis=1) for b in borders(raw, starts, doc)]
+    found = [np.stack([b, np.diff(np.r_[b, len(t.starts)])], axis=1) for b in borders(t.raw, t.starts, t.doc)]
+    found = [f[f[:, 1] >= max(n, SHINGLE)] for f, n in zip(found, (least, least, SHINGLE), strict=True)]
     both = np.unique(np.concatenate(found), axis=0)
-    both = both[both[:, 1] >= LEAST]
     return both[:, 0], both[:, 1]
 
 
-def long_band_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, hashes: MinMax) -> np.ndarray:
-    """Paragraphs x LONG_BANDS: keys as those of MinMax.bands."""
+def band_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, hashes: MinMax) -> np.ndarray:
+    """Paragraphs x BANDS: keys as those of MinMax.bands."""
     if not len(first):
-        return np.zeros((0, LONG_BANDS), dtype=np.int64)
+        return np.zeros((0, BANDS), dtype=np.int64)
     h = (shingle_hashes(words, SHINGLE) >> U64(32)).astype(np.uint32)
     cuts = np.stack([first, first + n - SHINGLE + 1], axis=1)
     order = np.argsort(first, kind="stable")
@@ -127,23 +141,13 @@ def long_band_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, hashes:
         x = np.append(x, x[-1:])  # so that a paragraph may end with the last shingle
         found.append([f.reduceat(x, cuts[order].reshape(-1))[::2] for f in (np.minimum, np.maximum)])
     v = np.concatenate([np.stack([low for low, _ in found], axis=1), np.stack([high for _, high in found], axis=1)], axis=1).astype(U64)
-    v = v.reshape(len(first), LONG_BANDS, LONG_ROWS)
+    v = v.reshape(len(first), BANDS, ROWS)
     keys = mix64((mix64(v + hashes.place[0]) * hashes.place[0]).sum(axis=2, dtype=U64) ^ hashes.band[None, :]).view(np.int64)
     out = np.empty_like(keys)
     out[order] = keys
     return out
 
 
-def band_keys(words: np.ndarray, hashes: MinMax) -> np.ndarray:
-    """Pieces x BANDS: minima and maxima of the permuted shingles of each piece, with their places in it."""
-    h = (shingle_hashes(words, SHINGLE) >> U64(32)).astype(np.uint32)
-    found = []
-    for x in hashes.permuted(h):
-        found += [(x, f(x, axis=1)[:, None]) for f in (np.argmin, np.argmax)]
-    v = np.concatenate([np.take_along_axis(x, i, axis=1).astype(U64) | i.astype(U64) << U64(32) for x, i in found[:BANDS]], axis=1)
-    return mix64(mix64(v + hashes.place[0]) ^ hashes.band[None, :BANDS]).view(np.int64)
-
-
 class Texts:
     """Words of some texts in a row, and where they stand."""
 
@@ -163,110 +167,112 @@ class Texts:
         return own, first, self.chars[self.starts[at]] - zero, self.chars[self.ends[at + n - 1]] - zero
 
 
-def pieces(t: Texts, hashes: MinMax, every: bool = False) -> tuple[np.ndarray, ...]:
-    """text (its number), first (word), start and end (code points), h, bands of the pieces: the first of each class in a text, or every one."""
+def pieces(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash (signed) of each piece."""
     at = anchors(t.words, t.doc)
-    rows = t.words[at[:, None] + np.arange(WORDS)]
-    h = paragraph_hashes(rows).view(np.int64)
-    order = np.lexsort((at, h, t.doc[at]))
+    return at, run_hashes(t.words, PIECE)[at].view(np.int64) if len(at) else at
+
+
+def first_of(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is the first of its kind that its owner has."""
+    order = np.lexsort((np.arange(len(values)), values, owner))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (t.doc[at][order][1:] != t.doc[at][order][:-1])
-    if not every:
-        keep = np.sort(order[new])
-        at, rows, h = at[keep], rows[keep], h[keep]
-    return *t.places(at, WORDS), h, band_keys(rows, hashes)
+    new[order[1:]] = (values[order][1:] != values[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    return new
+
+
+def lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """A list for each of n owners of the values, which are in the order of their owners."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
 
-def paragraphs_of(texts: list[bytes], ids: WordIds, hashes: MinMax) -> tuple[np.ndarray, ...]:
-    """The pieces of some texts: the first of each class in a text."""
-    return pieces(Texts(texts, ids), hashes)
+def at_once(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list, ...]]:
+    """Texts in groups of about AT_ONCE bytes, with other columns; rows without text left out."""
+    for batch in slices(batches):
+        held, size = [], 0
+        for row in zip(texts_as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if row[0]:
+                held.append(row)
+                size += len(row[0])
+            if size >= AT_ONCE:
+                yield tuple(map(list, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield tuple(map(list, zip(*held, strict=True)))
 
 
-def unit_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, first (word), n (words), start and end (code points), h (class), bands, whole: one row a paragraph (whole) or piece, at every place."""
-    names = ["doc_id", "first", "n", "start", "end", "h", "bands", "whole"]
+def document_units(documents: DataFrame, least: int) -> DataFrame:
+    """doc_id, pieces (hashes, each once), paragraphs (first word, n words, start, end, h: the class, bands: where the class stands first in the text)."""
+    kinds = {"first": pa.int32(), "n": pa.int32(), "start": pa.int32(), "end": pa.int32(), "h": pa.int64(), "bands": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, long_hashes = WordIds(), MinMax(-(-BANDS // 2), 1), MinMax(LONG_BANDS * LONG_ROWS // 2, LONG_ROWS)
-
-        def rows(docs: np.ndarray, place: tuple[np.ndarray, ...], n: np.ndarray, h: np.ndarray, bands: np.ndarray, whole: bool) -> pa.RecordBatch:
-            text, first, start, end = place
-            new = np.zeros(len(h), dtype=bool)  # only the first of a class in a text has its bands
-            new[np.unique(np.stack([text, h]), axis=1, return_index=True)[1] if len(h) else []] = True
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(new * bands.shape[1])], pa.int32()), pa.array(bands[new].reshape(-1), pa.int64()))
-            columns = [pa.array(docs[text]), *(pa.array(c, pa.int32()) for c in (first, n, start, end)), pa.array(h, pa.int64()), lists, pa.array(np.full(len(h), whole))]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        def both(docs: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            numbers, t = np.array(docs, dtype=np.int64), Texts(texts, ids)
-            *place, h, bands = pieces(t, hashes, every=True)
-            yield rows(numbers, tuple(place), np.full(len(h), WORDS), h, bands, False)
-            at, n = whole_paragraphs(t.raw, t.starts, t.doc)
-            h = np.array([long_hash(t.words[a : a + k]) for a, k in zip(at.tolist(), n.tolist(), strict=True)], dtype=np.int64)
-            yield rows(numbers, t.places(at, n), n, h, long_band_keys(t.words, at, n, long_hashes), True)
-
-        for batch in slices(batches):
-            docs, texts, size = [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text")), strict=True):
-                if text:
-                    docs.append(doc)
-                    texts.append(text)
-                    size += len(text)
-                if size >= AT_ONCE:
-                    yield from both(docs, texts)
-                    docs, texts, size = [], [], 0
-            if texts:
-                yield from both(docs, texts)
+        ids, hashes = WordIds(), MinMax(BANDS * ROWS // 2, ROWS)
+        for texts, docs in at_once(batches, ["doc_id"]):
+            t = Texts(texts, ids)
+            at, h = pieces(t)
+            own = first_of(t.doc[at], h)
+            first = lists(h[own], t.doc[at][own], len(docs), pa.int64())
+            at, n = paragraphs(t, least)
+            h = np.array([class_hash(t.words[a : a + k]) for a, k in zip(at.tolist(), n.tolist(), strict=True)], dtype=np.int64)
+            text, *place = t.places(at, n)
+            new = first_of(text, h)
+            bands = band_keys(t.words, at, n, hashes)[new]
+            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(new * BANDS)], pa.int32()), pa.array(bands.reshape(-1), pa.int64()))
+            columns = [pa.array(c, k) for c, k in zip((place[0], n, *place[1:], h), list(kinds.values())[:-1], strict=True)]
+            struct = pa.StructArray.from_arrays([*columns, bands], list(kinds))
+            second = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(docs) + 1)), pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), first, second], ["doc_id", "pieces", "paragraphs"])
 
     ok = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ok.mapInArrow(run, "doc_id long, first int, n int, start int, end int, h long, bands array<long>, whole boolean")
+    return ok.mapInArrow(run, "doc_id long, pieces array<long>, paragraphs array<struct<first:int,n:int,start:int,end:int,h:long,bands:array<long>>>")
 
 
-def shingle_sets(place: DataFrame, documents: DataFrame) -> DataFrame:
-    """id, shingles (packed 64-bit hashes) of classes given as id, doc_id, first, n, whole: where a member stands. Made again from the texts of those
-    documents alone; only words of paragraphs and pieces that are asked for are hashed.
+def looked_up(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What is needed of the texts of some documents, in one pass over them. wanted: doc_id, h, first, n; n is null for a piece.
+
+    A row a class: id, shingles (packed 64-bit hashes of the paragraph of n words from first). A row a stretch of words each PASSAGE of which hold a wanted
+    piece: doc_id, first, windows (the hash of the PASSAGE words from each), starts and ends (code points, of its words).
     """
-    by_doc = place.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "whole", "id")).alias("wanted"))  # no more than a document has
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "n")).alias("wanted"))  # no more than a document has
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = {"id": pa.int64(), "shingles": pa.binary(), "doc_id": pa.int64(), "first": pa.int32()}
+    kinds |= {"windows": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for b in slices(batches):
-            out: list[int] = []
-            sets: list[bytes] = []
-            for text, own in zip(texts_as_bytes(b.column("text")), b.column("wanted").to_pylist(), strict=True):
-                words = word_list(text)
-                own = [w for w in own if w["first"] + w["n"] <= len(words)]
+        for found, docs, wanted in at_once(batches, ["doc_id", "wanted"]):
+            t, out = Texts(found, ids), {k: [] for k in kinds}
+            begin = np.searchsorted(t.doc, np.arange(len(docs) + 1))
+            at, h = pieces(t) if any(w["n"] is None for own in wanted for w in own) else (np.zeros(0, dtype=np.int64),) * 2
+            cuts = np.searchsorted(t.doc[at], np.arange(len(docs) + 1))
+            windows = run_hashes(t.words, PASSAGE).view(np.int64) if len(at) else at
+
+            def add(**row) -> None:
+                for k in kinds:
+                    out[k].append(row.get(k))
+
+            for i, own in enumerate(wanted):
+                lo, hi = int(begin[i]), int(begin[i + 1])
                 for w in own:
-                    if w["whole"]:
-                        m = ids.of(words[w["first"] : w["first"] + w["n"]])
-                        if long_hash(m) == w["id"]:
-                            out.append(w["id"])
-                            sets.append(np.unique(shingle_hashes(m, SHINGLE)).tobytes())
-                own = [w for w in own if not w["whole"]]
-                if not own:
-                    continue
-                m = ids.of([x for w in own for x in words[w["first"] : w["first"] + WORDS]]).reshape(-1, WORDS)
-                same = paragraph_hashes(m).view(np.int64).tolist()  # another text of the same doc_id may differ
-                for w, h, x in zip(own, same, np.sort(shingle_hashes(m, SHINGLE), axis=1), strict=True):
-                    if w["id"] == h:
-                        out.append(h)
-                        sets.append((x if (x[1:] != x[:-1]).all() else np.unique(x)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
-
-    return texts.join(by_doc, "doc_id").mapInArrow(run, "id long, shingles binary")
-
-
-def band_groups(units: DataFrame) -> DataFrame:
-    """id (class), grp, size of the classes that share a key with another. grp: a band key of pieces, a component of paragraphs."""
-    keys = units.where("NOT whole").select(F.explode("bands").alias("grp"), F.col("h").alias("id"))
-    shared = keys.groupBy("grp").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("grp")
-    of_pieces = keys.join(shared, "grp").distinct().withColumn("size", F.lit(WORDS - SHINGLE + 1).cast("long"))
-    # equal paragraphs have equal keys, so one row a class is enough
-    whole = materialise(units.where("whole AND size(bands) > 0").groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "whole", free=True)
-    linked = components(leader_edges(whole.select(F.explode("bands").alias("key"), F.col("h").alias("id"))))
-    of_whole = linked.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(whole.select(F.col("h").alias("id"), (F.col("n") - SHINGLE + 1).cast("long").alias("size")), "id")
-    return of_pieces.select("id", "grp", "size").unionByName(of_whole.select("id", "grp", "size"))
+                    m = t.words[lo + w["first"] : lo + w["first"] + w["n"]] if w["n"] is not None else None
+                    if m is not None and len(m) == w["n"] and lo + w["first"] + w["n"] <= hi and class_hash(m) == w["h"]:  # another text of the same doc_id may differ
+                        add(id=w["h"], shingles=np.unique(shingle_hashes(m, SHINGLE)).tobytes())
+                shared = np.array([w["h"] for w in own if w["n"] is None], dtype=np.int64)
+                mine = at[cuts[i] : cuts[i + 1]][np.isin(h[cuts[i] : cuts[i + 1]], shared)]
+                last = hi - PASSAGE  # of the document's windows
+                old = None
+                for a, z in [(max(lo, int(p) + PIECE - PASSAGE), min(int(p), last)) for p in mine] + [(1 << 62, 1 << 62)]:
+                    if old and a > old[1] + 1 or z == 1 << 62:
+                        if old:
+                            span = slice(old[0], old[1] + PASSAGE)
+                            zero = t.chars[t.begin[i]]
+                            add(doc_id=docs[i], first=old[0] - lo, windows=windows[old[0] : old[1] + 1], starts=t.chars[t.starts[span]] - zero, ends=t.chars[t.ends[span]] - zero)
+                        old = None
+                    if a <= z < 1 << 62:
+                        old = (old[0], max(old[1], z)) if old else (a, z)
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, kind in kinds.items()], list(kinds))
+
+    return texts.join(by_doc, "doc_id").mapInArrow(run, "id long, shingles binary, doc_id long, first int, windows array<long>, starts array<int>, ends array<int>")
 
 
 def by_document(rows: DataFrame, names: list[str], of_document: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
@@ -298,129 +304,86 @@ def by_document(rows: DataFrame, names: list[str], of_document: Callable[[list[t
 
 
 def merged(units: list[tuple]) -> list[list]:
-    """first word, word behind, start, end, cluster of runs of units (first, n, start, end, cluster, ...) that overlap, and the units of each."""
+    """first word, word behind, start, end, cluster of runs of units (first, n, start, end, cluster, ...) that overlap."""
     out: list[list] = []
     for u in units:
         a, n, s, e, c = u[:5]
         if out and a < out[-1][1]:
             x = out[-1]
             x[1], x[2], x[3], x[4] = max(x[1], a + n), min(x[2], s), max(x[3], e), min(x[4], c)
-            x[5].append(u)
         else:
-            out.append([a, a + n, s, e, c, [u]])
+            out.append([a, a + n, s, e, c])
     return out
 
 
-def runs_of(units: list[tuple]) -> Iterator[tuple]:
-    """Runs of the same decision, with the first and the last piece (first, h, cluster, owner) of those to be removed."""
-    for keep in (False, True):
-        for a, b, s, e, c, own in merged([u for u in units if u[5] == keep]):
-            of = [] if keep else [u for u in own if not u[8]]
-            ends = [(u[0], u[6], u[4], u[7]) for u in (of[0], of[-1])] if of else [(None,) * 4] * 2
-            yield a, b - a, s, e, c, keep, *ends[0], *ends[1]
-
-
 def decided(units: list[tuple]) -> Iterator[tuple]:
-    """start, end, cluster, keep; of runs to be kept those of which LEAST words aren't removed, or that no removed one touches."""
+    """start, end, cluster, keep; of runs to be kept those of which LEFT words aren't removed, or that no removed one touches."""
     gone, at = merged([u for u in units if not u[5]]), 0
-    yield from ((s, e, c, False) for _, _, s, e, c, _ in gone)
-    for a, b, s, e, c, _ in merged([u for u in units if u[5]]):
+    yield from ((s, e, c, False) for _, _, s, e, c in gone)
+    for a, b, s, e, c in merged([u for u in units if u[5]]):
         while at < len(gone) and gone[at][1] <= a:
             at += 1
         left, k = b - a, at
         while k < len(gone) and gone[k][0] < b:
             left -= min(b, gone[k][1]) - max(a, gone[k][0])
             k += 1
-        if left >= LEAST or left == b - a:
+        if left >= LEFT or left == b - a:
             yield s, e, c, True
 
 
-def contexts(wanted: DataFrame, documents: DataFrame) -> DataFrame:
-    """The columns of wanted (doc_id, first, left, h, cluster_id, owner, rep: pieces, and the side asked for) with start and end, and up to
-    SPAN - 1 words from the piece outwards: their hashes (around) and outer offsets (edges). Made again from the texts.
-    """
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "left", "h", "cluster_id", "owner", "rep")).alias("wanted"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = {"doc_id": pa.int64(), "first": pa.int32(), "left": pa.bool_(), "h": pa.int64(), "cluster_id": pa.int64(), "owner": pa.int64(), "rep": pa.bool_()}
-    kinds |= {"start": pa.int32(), "end": pa.int32(), "around": pa.list_(pa.int64()), "edges": pa.list_(pa.int32())}
+UNIT = "doc_id long, first int, n int, start int, end int, cluster_id long, keep boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        for b in slices(batches):
-            out: dict[str, list] = {k: [] for k in kinds}
-            for doc, text, own in zip(b.column("doc_id").to_pylist(), texts_as_bytes(b.column("text")), b.column("wanted").to_pylist(), strict=True):
-                t = Texts([text or b""], ids)
-                for w in own:
-                    a, z = w["first"], w["first"] + WORDS
-                    if z > len(t.words) or paragraph_hashes(t.words[a:z][None, :]).view(np.int64)[0] != w["h"]:
-                        continue  # another text of the same doc_id
-                    at = np.arange(a - 1, max(-1, a - SPAN), -1) if w["left"] else np.arange(z, min(len(t.words), z + SPAN - 1))
-                    edges = t.chars[t.starts[at]] if w["left"] else t.chars[t.ends[at]]
-                    found = w | {"doc_id": doc, "start": int(t.chars[t.starts[a]]), "end": int(t.chars[t.ends[z - 1]])}
-                    found |= {"around": t.words[at].view(np.int64).tolist(), "edges": edges.tolist()}
-                    for k in kinds:
-                        out[k].append(found[k])
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, kind in kinds.items()], list(kinds))
-
-    schema = "doc_id long, first int, left boolean, h long, cluster_id long, owner long, rep boolean, start int, end int, around array<long>, edges array<int>"
-    return texts.join(by_doc, "doc_id").mapInArrow(run, schema)
 
+def passages(made: DataFrame) -> DataFrame:
+    """Units of the windows that stand in two documents, a unit a run of windows with the same decision. made: of looked_up."""
+    stretches = made.where("doc_id IS NOT NULL").select("doc_id", "first", "windows", "starts", "ends")
+    each = stretches.select("doc_id", "first", F.posexplode("windows").alias("k", "w"))
+    shared = each.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last").select("w", "owner")
+    hits = each.join(shared, "w").groupBy("doc_id", "first").agg(F.collect_list(F.struct("k", (F.col("owner") == F.col("doc_id")).alias("keep"))).alias("hits"))  # no more than the stretch has
 
-def extensions(runs: DataFrame, reps: DataFrame, documents: DataFrame) -> DataFrame:
-    """Units (first, n, start, end, cluster_id, keep): the outer pieces of runs to be removed, as far as their words go on as they do at the first place of
-    the piece (reps: h, doc_id, first), and that place likewise, where it is kept. A passage of 51 words or more goes on for SPAN - 1 words at most.
-    """
-    cols = ["first", "h", "cluster_id", "owner"]
-    side = lambda x, left: runs.where(f"{x}_h IS NOT NULL").select("doc_id", *(F.col(f"{x}_{c}").alias(c) for c in cols), F.lit(left).alias("left"))
-    ends = side("l", True).unionByName(side("r", False))
-    of_reps = ends.select("h", "left", "cluster_id", "owner").distinct().join(reps, "h")
-    wanted = ends.withColumn("rep", F.lit(False)).unionByName(of_reps.withColumn("rep", F.lit(True)))
-    found = materialise(contexts(wanted, documents), "contexts", free=True)
-    own = ["doc_id", "first", "start", "end", "edges", "around"]
-    a = found.where("NOT rep").select("h", "left", "cluster_id", "owner", *own)
-    b = found.where("rep").select("h", "left", *(F.col(c).alias(f"b_{c}") for c in own)).dropDuplicates(["h", "left"])
-    same = F.expr("zip_with(around, b_around, (x, y) -> coalesce(x = y, false))")
-    stop = F.expr("array_position(same, false)")
-    x = a.join(b, ["h", "left"]).where("doc_id <> b_doc_id").withColumn("same", same)
-    x = x.withColumn("more", F.when(stop == 0, F.size("same")).otherwise(stop - 1).cast("int")).where("more > 0").drop("same", "around", "b_around")
-
-    def units(t: DataFrame, pre: str, keep: bool) -> DataFrame:
-        edge = F.expr(f"element_at({pre}edges, more)")
-        return t.select(
-            F.col(f"{pre}doc_id").alias("doc_id"),
-            F.when(F.col("left"), F.col(f"{pre}first") - F.col("more")).otherwise(F.col(f"{pre}first")).cast("int").alias("first"),
-            (F.lit(WORDS) + F.col("more")).cast("int").alias("n"),
-            F.when(F.col("left"), edge).otherwise(F.col(f"{pre}start")).alias("start"),
-            F.when(F.col("left"), F.col(f"{pre}end")).otherwise(edge).alias("end"),
-            "cluster_id",
-            F.lit(keep).alias("keep"),
-        )
-
-    furthest = x.where("owner = b_doc_id").groupBy("h", "left", "cluster_id", "b_doc_id", "b_first", "b_start", "b_end").agg(F.max("more").alias("more"), F.max("b_edges").alias("b_edges"))
-    return units(x, "", False).unionByName(units(furthest, "b_", True))
-
-
-def repeated_passages(documents: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points), cluster_id, keep: passages that other documents share."""
-    units = materialise(unit_rows(documents), "paragraphs")
-    members = materialise(band_groups(units), "members", free=True)
-    near = members.select(F.col("id").alias("h")).distinct().withColumn("near", F.lit(True))
-    classes = units.groupBy("h").agg(F.min(F.struct("doc_id", "first", "n", "whole")).alias("rep"), F.max("doc_id").alias("last"))
-    classes = classes.join(near, "h", "left").where("near OR rep.doc_id <> last").select("h", "near", "rep", "last")
-    classes = materialise(classes, "classes", free=True)
-    place = classes.where("near").select(F.col("h").alias("id"), F.col("rep.doc_id").alias("doc_id"), "rep.first", "rep.n", "rep.whole")
-    sets = materialise(shingle_sets(place, documents), "shingles", free=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.bool_()]
+        names = ["doc_id", "first", "n", "start", "end", "cluster_id", "keep"]
+        for b in slices(batches, 256):
+            rows = []
+            for i in range(b.num_rows):
+                doc, first, hits = (b.column(c)[i].as_py() for c in ("doc_id", "first", "hits"))
+                windows, starts, ends = (b.column(c)[i].values.to_numpy() for c in ("windows", "starts", "ends"))
+                for keep in (False, True):
+                    at = np.unique(np.array([x["k"] for x in hits if x["keep"] == keep and x["k"] < len(windows)], dtype=np.int64))
+                    for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+                        a, z = int(part[0]), int(part[-1])
+                        rows.append((doc, first + a, z - a + PASSAGE, int(starts[a]), int(ends[z + PASSAGE - 1]), int(windows[a : z + 1].min()), keep))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return stretches.join(hits, ["doc_id", "first"]).mapInArrow(run, UNIT)
+
+
+def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """doc_id, start, end (code points), cluster_id, keep: passages that other documents share. least: words of lines and blocks."""
+    units = materialise(document_units(documents, least), "units")
+    of_paragraphs = units.select("doc_id", F.inline("paragraphs"))
+    classes = of_paragraphs.where("size(bands) > 0").groupBy("h")  # a row a document that has the class
+    classes = classes.agg(F.min(F.struct("doc_id", "first")).alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = materialise(classes.select("h", "rep.*", "last", "n", "bands"), "classes")
+    size = (F.col("n") - SHINGLE + 1).cast("long")
+    buckets = materialise(shared_buckets(classes.select(F.explode("bands").alias("key"), F.col("h").alias("id"), size.alias("size"))), "buckets")
+    near = classes.join(buckets.select(F.col("id").alias("h")).distinct(), "h").select("doc_id", "h", "first", "n")
+
+    of_pieces = units.select("doc_id", F.explode("pieces").alias("h"))
+    shared = of_pieces.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h")
+    cut = of_pieces.join(shared, "h").select("doc_id", "h", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("n"))
+    made = materialise(looked_up(documents, near.unionByName(cut)), "stretches")
+
+    sets = made.where("id IS NOT NULL").select("id", "shingles")
     unpacked = lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")]
-    links = group_links(members, lambda tasks: tasks.join(sets, "id"), unpacked, PERCENT, most_items=2048)
-    linked = components(links).select(F.col("node").alias("h"), "component")
-    clusters = materialise(classes.join(linked, "h", "left").select("h", F.coalesce("component", "h").alias("cluster_id"), F.col("rep.doc_id").alias("from"), F.col("last").alias("to")), "clusters", free=True)
-    shared = clusters.groupBy("cluster_id").agg(F.min("from").alias("owner"), F.max("to").alias("z")).where("owner <> z").select("cluster_id", "owner")
-    label = clusters.select("h", "cluster_id").join(shared, "cluster_id").select("h", "cluster_id", "owner")
-    found = units.select("doc_id", "first", "n", "start", "end", "h", "whole").join(label, "h").withColumn("keep", F.col("owner") == F.col("doc_id"))
-    names = ["first", "n", "start", "end", "cluster_id", "keep"]
-    ends = ", ".join(f"{x}_first int, {x}_h long, {x}_cluster_id long, {x}_owner long" for x in "lr")
-    runs = by_document(found, [*names, "h", "owner", "whole"], runs_of, f"doc_id long, first int, n int, start int, end int, cluster_id long, keep boolean, {ends}")
-    runs = materialise(runs, "runs", free=True)
-    reps = classes.select("h", F.col("rep.doc_id").alias("doc_id"), F.col("rep.first").alias("first"))
-    every = runs.select("doc_id", *names).unionByName(extensions(runs, reps, documents))
-    return by_document(every, names, decided, "doc_id long, start int, end int, cluster_id long, keep boolean")
+    found = linked(buckets, lambda tasks: tasks.join(sets, "id"), unpacked, PERCENT, most_items=2048)
+    label = classes.join(found, F.col("h") == F.col("node"), "left").where("component IS NOT NULL OR doc_id <> last")
+    label = label.select("h", F.coalesce("component", "h").alias("cluster_id"), F.col("doc_id").alias("from"), F.col("last").alias("to"))
+    label = materialise(label, "clusters")
+    shared = label.groupBy("cluster_id").agg(F.min("from").alias("owner"), F.max("to").alias("z")).where("owner <> z").select("cluster_id", "owner")
+    label = label.join(shared, "cluster_id").select("h", "cluster_id", "owner")
+    whole = of_paragraphs.join(label, "h").select("doc_id", "first", "n", "start", "end", "cluster_id", (F.col("owner") == F.col("doc_id")).alias("keep"))
+    every = whole.unionByName(passages(made))
+    return by_document(every, ["first", "n", "start", "end", "cluster_id", "keep"], decided, "doc_id long, start int, end int, cluster_id long, keep boolean")

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from helpers import LONG, clashing, docs
 
+from folioforge.llm import common
 from folioforge.llm import minhash as op
 from folioforge.llm.common import U64, WordIds, components, group_stream, spanning_links
 from folioforge.llm.queries import op10_minhash
@@ -72,12 +73,50 @@ def test_large_group_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = [mutated(rng, base, rng.randint(0, 5)) for _ in range(150)]
-    whole = op.group_links
-    monkeypatch.setattr(op, "group_links", lambda *a: whole(*a, most_items=16, most_size=2000))
+    whole = op.linked
+    monkeypatch.setattr(op, "linked", lambda *a: whole(*a, most_items=16, most_size=2000))
     got = op.near_duplicates(docs(spark, texts), shingle=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(list(range(len(texts))), texts, 4)
 
 
+def test_chain_of_unlike_members_costs_what_its_buckets_cost(spark, monkeypatch):
+    """Buckets that overlap in a chain are never one group: rows that go to comparing tasks grow as the chain does."""
+    rng = random.Random(3)
+    sets = {i: np.array(sorted(rng.sample(range(10**9), 20)), dtype=U64) for i in range(400)}
+    keys = spark.createDataFrame([(k, i, 20) for k in range(399) for i in (k, k + 1)], "key long, id long, size long")
+    seen = []
+
+    def attach(tasks):
+        seen.append(tasks.count())
+        rows = [(i, s.tobytes()) for i, s in sets.items()]
+        return tasks.join(spark.createDataFrame(rows, "id long, shingles binary"), "id")
+
+    unpacked = lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")]
+    monkeypatch.setattr(common, "MOST_SENT", 10)  # by the shuffle, too
+    assert common.linked(common.shared_buckets(keys), attach, unpacked, 80, most_items=16).count() == 0
+    assert len(seen) == 2 and max(seen) <= 4 * 399
+
+
+def test_buckets_with_the_same_members_are_one(spark):
+    rows = [(k, i, 1) for k in range(5) for i in (3, 4, 9)] + [(7, 3, 1), (7, 9, 1), (8, 1, 1)]
+    got = common.shared_buckets(spark.createDataFrame(rows, "key long, id long, size long")).collect()
+    assert sorted((r.key, r.id, r.lead) for r in got) == [(0, 3, 3), (0, 4, 3), (0, 9, 3), (7, 3, 3), (7, 9, 3)]
+
+
+def test_scratch_folder_is_never_local_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda k: None)
+
+    class Context:
+        master, getCheckpointDir, getConf = "spark://host:7077", staticmethod(lambda: None), staticmethod(Conf)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Session())
+
+
 def test_signature_values_agree_as_often_as_the_sets():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 900).astype(U64)

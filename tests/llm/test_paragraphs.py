@@ -1,8 +1,10 @@
 import random
+import re
 
 from helpers import LONG, clashing, docs
 
 from folioforge.llm import paragraphs as op
+from folioforge.llm.minhash import word_list
 from folioforge.llm.queries import op4_paragraphs
 from folioforge.session import table
 
@@ -11,9 +13,9 @@ def prose(rng, n):
     return [f"w{rng.randrange(10**7)}" for _ in range(n)]
 
 
-def found(df):
+def found(df, least=12):
     out = {}
-    for r in op.repeated_passages(df).collect():
+    for r in op.repeated_passages(df, least).collect():
         out.setdefault(r.doc_id, []).append((r.start, r.end, r.keep))
     return {k: sorted(v) for k, v in out.items()}
 
@@ -36,40 +38,123 @@ def test_passages_of_51_words_are_caught_wherever_they_stand(spark):
         assert all(k for _, _, k in a) and not any(k for _, _, k in b)
     for i, spans in got.items():  # near paragraphs may reach a few words beyond the passage
         words = [w for s, e, _ in spans for w in texts[i][s:e].split()]
-        assert len(set(words) & shared[i]) >= op.WORDS and len(set(words) - shared[i]) <= 8
-
-
-def test_near_paragraphs_are_clustered(spark):
-    """A paragraph whose last word differs has other words, but shingles alike: found by the bands and verified."""
-    rng = random.Random(8)
-    ids = op.WordIds()
-    of = lambda words: op.paragraphs_of([" ".join(words).encode()], ids, op.MinMax(2, 1))
-    base = prose(rng, 84)
-    at = int(of(base)[1][0])
-    other = prose(rng, 84)
-    other[at : at + op.WORDS - 1] = base[at : at + op.WORDS - 1]
-    a, b = of(base), of(other)
-    assert at in b[1] and not set(a[4].tolist()) & set(b[4].tolist())
-    assert set(found(docs(spark, [" ".join(base), " ".join(other)]))) == {0, 1}
+        assert len(set(words) & shared[i]) >= op.PASSAGE - 1 and len(set(words) - shared[i]) <= 8
 
 
 def test_anchors_against_plain_minima():
     rng = random.Random(6)
-    texts = [" ".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(n)) for n in (0, 5, 27, 28, 60, 300, 28)]
-    ids = op.WordIds()
-    got = op.paragraphs_of([t.encode() for t in texts], ids, op.MinMax(2, 1))
+    texts = [" ".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(n)) for n in (0, 5, 15, 16, 60, 300, 51)]
+    t = op.Texts([t.encode() for t in texts], op.WordIds())
+    at, h = op.pieces(t)
     want = set()
-    for i, t in enumerate(texts):
-        w = ids.of(op.word_list(t.encode()))
-        g = [int(x) >> op.PLACE_BITS for x in op.shingle_hashes(w, op.GRAM)] if len(w) >= op.GRAM else []
+    for i, x in enumerate(texts):
+        w = op.WordIds().of(x.encode().split())
+        g = [int(v) >> op.PLACE_BITS for v in op.shingle_hashes(w, op.GRAM)] if len(w) >= op.GRAM else []
         places = {min(range(k, k + op.SPAN), key=lambda p: (g[p], p)) for k in range(len(g) - op.SPAN + 1)}
-        seen = set()
-        for p in sorted(places):
-            u = t.split()[p : p + op.WORDS]
-            if len(u) == op.WORDS and tuple(u) not in seen:
-                seen.add(tuple(u))
-                want.add((i, p, " ".join(u)))
-    assert {(i, p, texts[i][s:e]) for i, p, s, e in zip(*(c.tolist() for c in got[:4]), strict=True)} == want and len(want) > 20
+        want |= {(i, p, " ".join(x.split()[p : p + op.PIECE])) for p in places if p + op.PIECE <= len(w)}
+    text, _, start, end = t.places(at, op.PIECE)
+    assert {(i, int(f), texts[i][s:e]) for i, f, s, e in zip(text.tolist(), t.places(at, 1)[1], start.tolist(), end.tolist(), strict=True)} == want and len(want) > 10
+    words = [x for x, _ in sorted(zip(h.tolist(), [texts[i][s:e] for i, s, e in zip(text.tolist(), start.tolist(), end.tolist(), strict=True)], strict=True))]
+    assert len(set(words)) == len({w for _, _, w in want})
+
+
+def test_every_run_of_51_words_holds_a_piece():
+    rng = random.Random(7)
+    ids = op.WordIds()
+    for _ in range(300):
+        t = op.Texts([" ".join(prose(rng, op.PASSAGE)).encode()], ids)
+        assert len(op.pieces(t)[0])
+
+
+def test_run_hashes_do_not_depend_on_the_place():
+    w = op.WordIds().of([f"w{i % 7}{i % 3}".encode() for i in range(400)])
+    h, size = op.run_hashes(w, 20), 20
+    runs = [tuple(w[i : i + size].tolist()) for i in range(len(w) - size + 1)]
+    assert len(h) == len(runs) and len(set(h.tolist())) == len(set(runs)) == len(set(zip(runs, h.tolist(), strict=True)))
+    assert len(op.run_hashes(w, 401)) == 0
+
+
+def brute(rows, least):
+    """doc_id -> (start, end, keep) by all pairs of paragraphs and all windows."""
+    units, windows = [], {}  # (doc, first, n, shingles, words)
+    words = {}
+    for d, text in rows:
+        at = [m.span() for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text)]
+        low = [text[a:b].encode().lower() for a, b in at]
+        words[d] = at
+        breaks = [re.sub("\r\n|\r", "\n", text[(at[i - 1][1] if i else 0) : at[i][0]]).count("\n") for i in range(len(at))]
+        spans = set()
+        for gap, most in ((1, least), (2, least), (10**9, 5)):
+            cut = [i for i in range(len(at)) if i == 0 or breaks[i] >= gap] + [len(at)]
+            spans |= {(a, b) for a, b in zip(cut, cut[1:], strict=False) if b - a >= max(most, 5)}
+        for a, b in spans:
+            units.append((d, a, b, {tuple(low[i : i + 5]) for i in range(a, b - 4)}, tuple(low[a:b])))
+        for i in range(len(at) - 50):
+            windows.setdefault(tuple(low[i : i + 51]), []).append((d, i))
+    up = list(range(len(units)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(units):
+        for j in range(i):
+            n = len(a[3] & units[j][3])
+            if n and 100 * n >= 80 * (len(a[3]) + len(units[j][3]) - n):
+                up[find(i)] = find(j)
+    groups = {}
+    for i, u in enumerate(units):
+        groups.setdefault(find(i), []).append(u)
+    marks = {}  # (doc, keep) -> intervals of words
+    for g in [*([(u[0], u[1], u[2]) for u in g] for g in groups.values()), *([(d, i, i + 51) for d, i in w] for w in windows.values())]:
+        owner = min(x[0] for x in g)
+        if any(x[0] != owner for x in g):
+            for d, a, b in g:
+                marks.setdefault((d, d == owner), []).append((a, b))
+    out = {}
+    for (d, keep), spans in marks.items():
+        runs = []
+        for a, b in sorted(spans):
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(b, runs[-1][1])
+            else:
+                runs.append([a, b])
+        gone = {i for a, b in marks.get((d, False), []) for i in range(a, b)} if keep else set()
+        for a, b in runs:
+            left = len(set(range(a, b)) - gone)
+            if not keep or left >= op.LEFT or left == b - a:
+                out.setdefault(d, []).append((words[d][a][0], words[d][b - 1][1], keep))
+    return {d: sorted(x) for d, x in out.items()}
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(21)
+    pool = [prose(rng, rng.randint(3, 130)) for _ in range(25)]
+
+    def part():
+        p = list(rng.choice(pool))
+        if rng.random() < 0.4:
+            p[rng.randrange(len(p))] = "chängéd"
+        return p[rng.randint(0, 20) :] if rng.random() < 0.3 else p
+
+    texts = [rng.choice(["\n", "\n\n", " "]).join(" ".join(x) for x in [prose(rng, rng.randint(0, 30)), part(), prose(rng, rng.randint(0, 30)), part()]) for _ in range(60)]
+    texts += [" ".join(pool[0]), " ".join(pool[1][:7]), " ".join(pool[1][:7]).upper(), "a b c d", "a b c d"]
+    for least in (5, op.LEAST):
+        want = brute(list(enumerate(texts)), least)
+        assert found(docs(spark, texts, parts=5), least) == want and len(want) > 40
+
+
+def test_query_against_brute_force(spark, sf):
+    """All windows, and all pairs of the paragraphs that share a shingle, of a table."""
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect() if r.text and len(r.text) < 4000]
+    small = table(spark, sf, "documents").where("length(text) < 4000")
+    assert found(small, op.LEAST) == brute(rows, op.LEAST)
+
+
+def test_short_equal_documents_are_found(spark):
+    got = found(docs(spark, ["one two three four five", "One  two three\nfour five", "one two three four", "one two three four"]), op.LEAST)
+    assert got == {0: [(0, 23, True)], 1: [(0, 24, False)]}
 
 
 def test_repeats_inside_a_document_and_repeated_rows_do_not_count(spark):
@@ -91,18 +176,19 @@ def test_large_shared_passage(spark):
 
 
 def test_query(spark, sf):
+    """No document with a repeated run of 51 words is missed, and none without a repeated paragraph or run is named."""
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     where = {}
     for d, t in rows:
-        w = op.word_list(t.encode())
+        w = word_list(t.encode())
         for i in range(len(w) - 50):
             where.setdefault(tuple(w[i : i + 51]), set()).add(d)
     must = {d for s in where.values() if len(s) > 1 for d in s}
     where = {}
     for d, t in rows:
-        w = op.word_list(t.encode())
-        for i in range(len(w) - 11):
-            where.setdefault(tuple(w[i : i + 12]), set()).add(d)
+        w = word_list(t.encode())
+        for i in range(len(w) - 4):
+            where.setdefault(tuple(w[i : i + 5]), set()).add(d)
     may = {d for s in where.values() if len(s) > 1 for d in s}
     got = {r.doc_id for r in op4_paragraphs(spark, sf).collect()}
     assert must <= got <= may and must
@@ -131,8 +217,8 @@ def test_whole_paragraphs_with_changed_words_are_linked(spark):
 def test_paragraph_borders():
     raw = "a b\r\nc\n\n d\r\re\n \t\nf g".encode()
     t = op.Texts([raw, b"h\ni"], op.WordIds())
-    lines, blocks = op.borders(t.raw, t.starts, t.doc)
-    assert lines.tolist() == [0, 2, 3, 4, 5, 7, 8] and blocks.tolist() == [0, 3, 4, 5, 7]
+    lines, blocks, texts = op.borders(t.raw, t.starts, t.doc)
+    assert lines.tolist() == [0, 2, 3, 4, 5, 7, 8] and blocks.tolist() == [0, 3, 4, 5, 7] and texts.tolist() == [0, 7]
 
 
 def test_chains_keep_one_copy_of_every_word(spark):
