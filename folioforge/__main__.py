@@ -7,7 +7,7 @@ import os
 import sys
 
 from folioforge.config import Config, ReaderProfile, unknown_presets
-from folioforge.plans import books
+from folioforge.plans import books, translate
 from folioforge.session import local_session
 
 
@@ -50,7 +50,8 @@ def main(argv: list[str] | None = None) -> int:
         anno = profile.annotations(density=a.note_density, presets=presets, style=a.note_style, lang=a.note_lang, voice=a.note_voice)
     config = Config(a.to, a.level, a.prompt, a.mode, a.provider, a.model, annotations=anno)
     out = a.out or books.default_output(a.book, a.to if a.verb == "translate" else "notes", spark)
-    found = books.decided(spark, a.book, config, a.job or f"{out}.job", a.verb == "annotate", a.base_url, os.environ.get("FOLIOFORGE_API_KEY", "")).cache()
+    on = (lambda phase, **values: print(books.event(phase, **values), flush=True)) if a.json else translate.silent
+    found = books.decided(spark, a.book, config, a.job or f"{out}.job", a.verb == "annotate", a.base_url, os.environ.get("FOLIOFORGE_API_KEY", ""), True, on)
     books.write_book(spark, a.book, found, out, config)
     result = books.summary(found)
     print(books.event("done", out=out, **result) if a.json else f"{out}: {result}")

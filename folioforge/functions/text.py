@@ -13,18 +13,19 @@ NOTE_PREFIX = "〔註〕"
 DENSE = "[\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\uAC00-\\uD7AF\\uFF66-\\uFF9F]"
 
 # Phrases that write the reader into a note, and openers that say nothing.
-READER_PHRASES = (
-    ["就像你", "跟你一樣", "和你一樣", "像你這樣", "身為讀者", "讀者你", "的你", "你也", "你會", "你可能", "你應該", "你我", "親愛的讀者"]
-    + ["dear reader", "as you ", "like you,", "you might", "you may", "you probably", "readers like you"]
-)
+READER_PHRASES = [
+    "就像你", "跟你一樣", "和你一樣", "像你這樣", "身為讀者", "讀者你", "的你", "你也", "你會", "你可能", "你應該", "你我", "親愛的讀者",
+    "dear reader", "as you ", "like you,", "you might", "you may", "you probably", "readers like you",
+]
 GENERIC_OPENERS = ["這段", "這一段", "此段", "此處", "本段", "作者在此", "作者在這", "this passage", "this paragraph", "here the author", "in this passage"]
 
 # Ids of the preset help angles, in their canonical order.
 PRESETS = ["terms", "history", "author", "culture", "characters", "concepts", "world", "methods", "research"]
 
 # Phrases of rights pages.
-RIGHTS_MARKERS = ["all rights reserved", "library of congress", "cataloging-in-publication", "isbn", "no part of this book", "penguin random house"] + [
-    "無断複製", "無断転載", "発行所", "発行者", "著作権法", "版權所有", "翻印必究", "著作權"
+RIGHTS_MARKERS = [
+    "all rights reserved", "library of congress", "cataloging-in-publication", "isbn", "no part of this book", "penguin random house",
+    "無断複製", "無断転載", "発行所", "発行者", "著作権法", "版權所有", "翻印必究", "著作權",
 ]
 RIGHTS_MOST_SEGMENTS, RIGHTS_LEAST_MARKERS = 40, 2
 

@@ -46,16 +46,38 @@ def estimate_book(spark: SparkSession, path: str, model: str, level: str = "sent
     return {"chapters": s.select("chapter").distinct().count()} | (row.asDict() if row else {"segments": 0})
 
 
-def decided(spark: SparkSession, path: str, config: Config, job: str, notes_only: bool = False, base_url: str = "", key: str = "") -> DataFrame:
-    """Segments with target and notes. Translations come from and go to the job's store."""
+def decided(
+    spark: SparkSession, path: str, config: Config, job: str, notes_only: bool = False, base_url: str = "", key: str = "", trusted: bool = False, on: translate.Sink = translate.silent
+) -> DataFrame:
+    """Segments with target and notes, read from the job's tables, to which all that was asked for has gone.
+
+    trusted: base_url was given by the operator, so it may be remote. on is told of each phase.
+    """
     s = book_segments(spark, path)
+    provider = lambda: provider_for(config, base_url, key, trusted)
+    provider()  # a refused address is told before anything runs
+    states = s.groupBy(F.col("chapter").cast("long").alias("idx"), "href").agg(F.lit(1))
+    state = lambda name: cache.append(states.select("idx", "href", F.lit(name).alias("status"), F.lit(cache.now()).alias("seq")), f"{job}/chapters")
+    state("in_progress")
+    cache.set_meta(spark, f"{job}/meta", "config_sig", config.signature())
+    cache.set_meta(spark, f"{job}/meta", "target_lang", config.target_lang)
     if notes_only:
         s = s.withColumn("prefilled", F.lit(False)).withColumn("failed", F.lit(False))
     else:
-        s = translate.run(s, CHAPTER, ORDER, config, f"{job}/cache", lambda: provider_for(config, base_url, key))
+        s = cache.kept(translate.run(s, CHAPTER, ORDER, config, f"{job}/cache", provider, on=on, book=["book"]), f"{job}/translated")
     if config.annotations is not None:
-        return annotate.run(s, ["book"], CHAPTER, ORDER, config.annotations, lambda: provider_for(config, base_url, key))
-    return s.withColumn("note_pos", F.lit(None).cast("string")).withColumn("note_text", F.lit(None).cast("string"))
+        signature = config.note_signature()
+        cache.set_meta(spark, f"{job}/meta", "anno_sig", signature)
+        s = annotate.run(s, ["book"], CHAPTER, ORDER, config.annotations, provider, f"{job}/annotations", signature, on)
+    else:
+        s = s.withColumn("note_pos", F.lit(None).cast("string")).withColumn("note_text", F.lit(None).cast("string"))
+    state("done")
+    return s
+
+
+def chapters(spark: SparkSession, job: str) -> DataFrame:
+    """idx, href, status of a job's chapters."""
+    return cache.chapter_states(cache.read(spark, f"{job}/chapters", cache.STATES))
 
 
 def write_book(spark: SparkSession, path: str, found: DataFrame, out: str, config: Config) -> None:

@@ -6,19 +6,19 @@ Every query runs over its whole table. Literal rows beside a table bring in case
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from folioforge.config import Annotations, Config
 from folioforge.functions import cost, hashing, payload
 from folioforge.functions import text as T
 from folioforge.operators import batching, cache, glossary, notes, progress, validation
 from folioforge.operators import segments as S
-from folioforge.plans import annotate, estimate, translate
-from folioforge.session import table
+from folioforge.plans import annotate, estimate, expert, translate
+from folioforge.session import shared_folder, table
 from folioforge.sources import pages, txt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,6 +228,20 @@ def provider_translate(spark, sf_dir):
     return translate.translated(b, ["doc_id"], "block_index", CONFIG).select("doc_id", "block_index", "target", "failed")
 
 
+EXPERT_TERMS = [("the", "THE"), ("of", "OF"), ("other", "OTHER")]
+_BAKED = "source"
+for _s, _t in EXPERT_TERMS:
+    _BAKED = rf"regexp_replace({_BAKED}, '\b{_s}\b', '{_t}', 'g')"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, block_index, '〈譯〉' || {_BAKED} AS target, false AS failed FROM seg")
+def expert_translate(spark, sf_dir):
+    x = _undecided(lines(spark, sf_dir))
+    store = f"{shared_folder(spark)}/folioforge/{uuid.uuid4().hex}-expert"
+    config = Config("fr", level="expert")
+    return expert.run(x, ["book"], ["book", "doc_id"], "block_index", config, store, every=1 << 30, given=EXPERT_TERMS).select("doc_id", "block_index", "target", "failed")
+
+
 @query("SELECT conv_id, turn, role, '〈譯〉' || text AS target, CAST((strlen('sys') + strlen(text)) // 4 AS BIGINT) AS tokens_in FROM conversations")
 def conversation_translate(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
@@ -337,13 +351,33 @@ def latest_upsert(spark, sf_dir):
     return cache.latest(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
-NOTE_VALUES = ["", "bare words", '{"pos":"before","text":"x"}', '{"text":"no side"}', '{"other":1}']
+@query(
+    """WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations),
+v AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN t WHEN 2 THEN CAST(to_json({'pos': 'before', 'text': t}) AS VARCHAR)
+  WHEN 3 THEN CAST(to_json({'text': t}) AS VARCHAR) ELSE CAST(to_json({'other': t}) AS VARCHAR) END AS v FROM m),
+o AS (SELECT *, starts_with(v, '{') AND json_extract_string(CASE WHEN starts_with(v, '{') THEN v ELSE '{}' END, '$.text') IS NOT NULL AS made FROM v)
+SELECT conv_id, turn, CASE WHEN made THEN coalesce(json_extract_string(v, '$.pos'), 'after') ELSE 'after' END AS pos, CASE WHEN made THEN json_extract_string(v, '$.text') ELSE v END AS text FROM o"""
+)
+def note_values(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    made = [F.to_json(F.struct(F.lit("before").alias("pos"), t.alias("text"))), F.to_json(F.struct(t.alias("text"))), F.to_json(F.struct(t.alias("other")))]
+    k = F.col("turn") % 5
+    v = F.when(k == 0, "").when(k == 1, t).when(k == 2, made[0]).when(k == 3, made[1]).otherwise(made[2])
+    x = table(spark, sf_dir, "conversations").select("conv_id", "turn", hashing.decoded_note(v).alias("d"))
+    return x.select("conv_id", "turn", "d.pos", "d.text")
 
 
-@query("SELECT * FROM (VALUES (0, 'after', ''), (1, 'after', 'bare words'), (2, 'before', 'x'), (3, 'after', 'no side'), (4, 'after', '{\"other\":1}')) t(n, pos, text)")
-def note_values(spark, sf_dir):
-    x = spark.createDataFrame([(i, v) for i, v in enumerate(NOTE_VALUES)], "n int, v string")
-    return x.select("n", hashing.decoded_note(F.col("v")).alias("d")).select("n", "d.pos", "d.text")
+@query(
+    f"""WITH {_LINES} SELECT doc_id, block_index, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN block_index % 3 = 0 THEN 'before' ELSE 'after' END END AS pos,
+CASE WHEN doc_id % 2 = 0 THEN CASE WHEN block_index % 3 = 0 THEN 'N ' || source ELSE '' END END AS text FROM seg"""
+)
+def note_prefill(spark, sf_dir):
+    x = lines(spark, sf_dir).withColumn("href", F.col("doc_id").cast("string"))
+    has = F.col("block_index") % 3 == 0
+    done = x.where("doc_id % 2 = 0").withColumn("note_pos", F.when(has, "before")).withColumn("note_text", F.when(has, F.concat(F.lit("N "), F.col("source"))).otherwise(""))
+    log = cache.note_decisions(done, F.col("href"), "block_index", "anno")
+    y = cache.note_prefilled(x.withColumn("note", F.lit(None).cast("struct<pos:string,text:string>")), cache.latest(log), "anno")
+    return y.select("doc_id", "block_index", "note.pos", "note.text")
 
 
 # ---------------------------------------------------------------- notes
@@ -453,8 +487,10 @@ terms AS (SELECT w AS source, n, row_number() OVER (ORDER BY n DESC, w) AS place
 
 
 def _terms(spark, sf_dir) -> DataFrame:
-    t = glossary.frequent_terms(lines(spark, sf_dir), 3, 40)
-    return t.select("source", F.upper("source").alias("target"), "n", F.row_number().over(W.orderBy(F.desc("n"), "source")).cast("long").alias("place"))
+    t = glossary.local(glossary.frequent_terms(lines(spark, sf_dir), 3, 40))
+    ordered = t.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "source"))).alias("a"))  # 40 rows
+    x = ordered.select(F.posexplode("a").alias("i", "t"))
+    return x.select("t.source", F.upper("t.source").alias("target"), (-F.col("t.m")).alias("n"), (F.col("i") + 1).cast("long").alias("place"))
 
 
 @query(f"WITH {_TERMS} SELECT source, CAST(n AS BIGINT) AS n FROM terms")
@@ -534,11 +570,18 @@ def rolling_digest(spark, sf_dir):
     return S.rolling_digest(c, ["book"], "doc_id", line).select("book", "doc_id", "digest")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id, {_trim('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE {_trim('text')} <> ''),
+f AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS held FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT f.conv_id, t.n, CASE WHEN list_contains(held, t) THEN held WHEN len(held) >= 3 THEN list_append(held[2:], t) ELSE list_append(held, t) END FROM f JOIN t ON t.conv_id = f.conv_id AND t.n = f.n + 1
+)
+SELECT conv_id, array_to_string(arg_max(held, n), '|') AS topics FROM f GROUP BY conv_id"""
+)
 def rolling_topics(spark, sf_dir):
-    topics = F.transform(F.sort_array(F.collect_list(F.struct("conv_id", "turn", F.substring("text", 1, 4).alias("t")))), lambda x: x["t"])
-    c = table(spark, sf_dir, "conversations").withColumn("shelf", F.pmod("conv_id", F.lit(97)))
-    return c.groupBy("shelf").agg(F.array_join(S.rolling_topics(topics, 12), "|").alias("topics"))
+    topics = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"])
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(S.rolling_topics(topics, 3), "|").alias("topics"))
 
 
 # ---------------------------------------------------------------- rendering
@@ -594,33 +637,44 @@ def html_bilingual(spark, sf_dir):
     return pages.rendered_pages(p, done.select("page_id", "block_index", "target", F.lit("before").alias("note_pos"), note.alias("note")), True, "fr")
 
 
-# ---------------------------------------------------------------- small scalars, over literal cases
+# ---------------------------------------------------------------- small scalars, over whole tables
 
-LABELS = ["繁體中文", " English ", "한국어", "fr", "日本語"]
+LABELS = {"繁體中文": "zh-Hant", " English ": "en", "한국어": "ko", "fr": "fr", "日本語": "ja"}
+_LABEL = "CASE page_id % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LABELS)) + " END"
+_TAG = "CASE page_id % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LABELS.values())) + " END"
+_SPACED = r"trim(regexp_replace(regexp_replace(v, '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(
-    "SELECT * FROM (VALUES (0, 'zh-Hant', '繁體中文'), (1, 'en', 'English'), (2, 'ko', '한국어'), (3, 'fr', 'fr'), (4, 'ja', '日本語')) t(n, tag, slug)"
+    f"""WITH x AS (SELECT page_id, {_TAG} AS tag, {_LABEL} || ' ' || url AS v FROM pages),
+j AS (SELECT page_id, tag, regexp_replace(replace(replace({_SPACED}, '- ', '-'), ' ', '-'), '^[-_]+|[-_]+$', '', 'g') AS slug FROM x)
+SELECT page_id, tag, CASE WHEN slug = '' THEN 'translated' ELSE slug END AS slug FROM j"""
 )
 def language_labels(spark, sf_dir):
-    x = spark.createDataFrame(list(enumerate(LABELS)), "n int, v string")
-    return x.select("n", T.language_tag(F.col("v")).alias("tag"), T.file_slug(F.col("v")).alias("slug"))
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("page_id") % 5 + 1).cast("int"))
+    x = table(spark, sf_dir, "pages").select("page_id", label.alias("label"), F.concat(label, F.lit(" "), F.col("url")).alias("v"))
+    return x.select("page_id", T.language_tag(F.col("label")).alias("tag"), T.file_slug(F.col("v")).alias("slug"))
+
+
+@query("SELECT page_id, sha256(html) AS hash FROM pages")
+def file_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", hashing.file_hash(F.encode("html", "UTF-8")).alias("hash"))
+
+
+ENTRIES = ["a/../b.xhtml", "/x.HTML", "C:\\x.epub", "ok/c1.EPUB", "text.txt", ""]
 
 
 @query(
-    """SELECT page_id, CASE WHEN lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) IN ('epub', 'txt') THEN lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) END AS format,
+    f"""WITH e AS (SELECT page_id AS n, url FROM pages UNION ALL SELECT * FROM (VALUES {', '.join(f"({-i - 1}::BIGINT, '{x}')" for i, x in enumerate(ENTRIES))}) t(n, url))
+SELECT n, CASE WHEN lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) IN ('epub', 'txt') THEN lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) END AS format,
 regexp_matches(url, '(?i)\\.(xhtml|html|htm)$') AS xhtml, url <> '' AND NOT regexp_matches(url, '^[/\\\\]') AND NOT regexp_matches(url, '^[A-Za-z]:')
-AND NOT regexp_matches(url, '(^|[/\\\\])\\.{1,2}([/\\\\]|$)') AS safe FROM (
-SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'a/../b.xhtml' WHEN 2 THEN '/x.HTML' WHEN 3 THEN 'C:\\x.epub' WHEN 4 THEN 'ok/c1.EPUB' ELSE 'text.txt' END AS url FROM pages)"""
+AND NOT regexp_matches(url, '(^|[/\\\\])\\.{{1,2}}([/\\\\]|$)') AS safe FROM e"""
 )
 def entry_names(spark, sf_dir):
-    cases = ["a/../b.xhtml", "/x.HTML", "C:\\x.epub", "ok/c1.EPUB", "text.txt"]
-    u = F.when(F.col("page_id") % 6 == 0, F.col("url"))
-    for i, c in enumerate(cases):
-        u = u.when(F.col("page_id") % 6 == i + 1, F.lit(c))
-    x = table(spark, sf_dir, "pages").select("page_id", u.alias("url"))
+    cases = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(ENTRIES)], "n long, url string")
+    x = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), "url").unionByName(cases)
     c = F.col("url")
-    return x.select("page_id", T.book_format(c).alias("format"), T.is_xhtml(c).alias("xhtml"), T.safe_entry_name(c).alias("safe"))
+    return x.select("n", T.book_format(c).alias("format"), T.is_xhtml(c).alias("xhtml"), T.safe_entry_name(c).alias("safe"))
 
 
 KEYED = ["sk-ant-abcdefgh12 x", "sk-short", "key sk-proj-ABCDEFGHIJ.", "Authorization: Bearer abc.def==\"", "github_pat_1234567890 ghp_12345678", "plain"]
@@ -637,68 +691,134 @@ def redact_keys(spark, sf_dir):
     return x.select("n", T.redact_keys(F.col("text")).alias("text"))
 
 
-ANCHORS = [["  a ", "a", "", "b" * 100], [str(i) for i in range(30)], ["　x　"]]
-IDS = [["world", "terms", "nope", "terms"], [], ["research", "x", "x", "y"]]
+_PRESETS = "[" + ", ".join(f"'{p}'" for p in T.PRESETS) + "]"
 
 
 @query(
-    f"""SELECT * FROM (VALUES (0, 'a|{'b' * 80}', 'terms,world', 'nope'), (1, '{'|'.join(str(i) for i in range(16))}', '', ''), (2, 'x', 'research', 'x,y')) t(n, anchors, presets, unknown)"""
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS a, unnest(generate_series(1, len(string_split(text, E'\\n')))) AS i FROM documents),
+c AS (SELECT doc_id, substr({_trim('a')}, 1, 80) AS a, min(i) AS i FROM l GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM c WHERE a <> ''),
+g AS (SELECT doc_id, string_agg(a, '|' ORDER BY r) AS anchors FROM f WHERE r <= 16 GROUP BY doc_id),
+p AS (SELECT doc_id, coalesce(lang, '') AS lang, source, {_trim('text')} AS style, CASE WHEN doc_id % 3 = 0 THEN ['world', coalesce(lang, ''), 'terms', source, 'world'] ELSE [source, 'research', coalesce(lang, ''), source] END AS ids FROM documents)
+SELECT p.doc_id, coalesce(anchors, '') AS anchors, array_to_string(list_filter({_PRESETS}, lambda x: list_contains(ids, x)), ',') AS presets,
+  CASE WHEN doc_id % 3 = 0 THEN lang || ',' || source ELSE source || ',' || lang END AS unknown, substr(style, 1, {T.STYLE_CHARS}) AS style FROM p LEFT JOIN g USING (doc_id)"""
 )
 def reader_lists(spark, sf_dir):
-    x = spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(zip(ANCHORS, IDS, strict=True))], "n int, a array<string>, p array<string>")
-    return x.select(
-        "n", F.array_join(T.canonical_anchors(F.col("a")), "|").alias("anchors"), F.array_join(T.canonical_presets(F.col("p")), ",").alias("presets"), F.array_join(T.unknown_presets(F.col("p")), ",").alias("unknown")
-    )
+    lang = F.coalesce("lang", F.lit(""))
+    ids = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("world"), lang, F.lit("terms"), F.col("source"), F.lit("world"))).otherwise(F.array("source", F.lit("research"), lang, "source"))
+    anchors = F.array_join(T.canonical_anchors(F.split("text", "\n")), "|")
+    lists = [F.array_join(f(ids), ",").alias(n) for f, n in ((T.canonical_presets, "presets"), (T.unknown_presets, "unknown"))]
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(anchors, F.lit("")).alias("anchors"), *lists, T.sanitised_style(F.col("text")).alias("style"))
 
 
-ANSWERS = [
-    '[{"id":1,"translation":"x ⟦1⟧"},{"id":2,"translation":"y"}]', 'Sure: ```json\n[{"id":2,"translation":"]y["},{"id":1,"translation":"⟦1⟧"}]``` done]', '[{"id":1,"translation":"x"},{"id":2,"translation":"y"}]',
-    '[{"id":1,"translation":"⟦1⟧"}]', '[{"id":1,"translation":"⟦1⟧"},{"id":3,"translation":"y"}]', '[{"id":1,"translation":"⟦1⟧"},{"id":2,"translation":" "}]', '[{"id":1,"translation":"⟦1⟧"},{"id":1,"translation":"⟦1⟧"}]', "none",
-]
+def _messages(spark, sf_dir) -> DataFrame:
+    """conv_id, turn, t (a text that isn't blank), k (a number from 0 to 7 that differs from turn to turn)."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.concat(F.lit("t"), F.coalesce("text", F.lit(""))).alias("t"), F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(8)).alias("k"))
 
 
-@query(
-    """SELECT * FROM (VALUES (0, 'ok'), (1, 'ok'), (2, 'placeholder mismatch'), (3, 'count mismatch'), (4, 'unexpected id'), (5, 'empty translation'), (6, 'duplicate ids'), (7, 'no array')) t(n, status)"""
-)
+_MESSAGES = "m AS (SELECT conv_id, turn, 't' || coalesce(text, '') AS t, (conv_id * 3 + turn) % 8 AS k FROM conversations)"
+_STATUS = ["ok", "ok", "placeholder mismatch", "count mismatch", "unexpected id", "empty translation", "duplicate ids", "no array"]
+
+
+@query(f"WITH {_MESSAGES} SELECT conv_id, turn, CASE k {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_STATUS))} END AS status FROM m")
 def answer_status(spark, sf_dir):
-    x = spark.createDataFrame(list(enumerate(ANSWERS)), "n int, v string")
-    units = F.array(F.struct(F.lit(1).cast("long").alias("id"), F.lit("s ⟦1⟧").alias("text")), F.struct(F.lit(2).cast("long").alias("id"), F.lit("t").alias("text")))
-    return x.select("n", payload.json_array("v").alias("j")).select("n", validation.translation_status(F.col("j"), units).alias("status"))
+    """Answers that are made of every message's text, as a provider would give them: whole, wrapped in talk, and with each fault."""
+    a, b = F.concat(F.col("t"), F.lit(" ⟦1⟧")), F.col("t")
+
+    def said(*items) -> Column:
+        return F.to_json(F.array(*(F.struct(F.lit(i).cast("long").alias("id"), t.alias("translation")) for i, t in items)))
 
+    k = F.col("k")
+    answer = (
+        F.when(k == 0, said((1, a), (2, b))).when(k == 1, F.concat(F.lit("Sure: ```json\n"), said((2, F.concat(F.lit("]"), b)), (1, a)), F.lit("``` done]"))).when(k == 2, said((1, b), (2, b)))
+        .when(k == 3, said((1, a))).when(k == 4, said((1, a), (3, b))).when(k == 5, said((1, a), (2, F.lit(" ")))).when(k == 6, said((1, a), (1, a))).otherwise("none")
+    )
+    units = F.array(F.struct(F.lit(1).cast("long").alias("id"), a.alias("text")), F.struct(F.lit(2).cast("long").alias("id"), b.alias("text")))
+    x = _messages(spark, sf_dir).select("conv_id", "turn", units.alias("units"), payload.json_array(answer).alias("j"))
+    return x.select("conv_id", "turn", validation.translation_status(F.col("j"), F.col("units")).alias("status"))
 
-PICKS = [
-    '{"selections":[{"id":2,"pos":"before","angle":" a ","priority":3},{"id":1},{"id":2,"pos":"after"}]}', '{"selections":[{"id":9}]}', '{"selections":[{"id":1,"pos":"left"}]}', "nothing", 'x {"selections":[]} y',
-]
 
+_NOTES = ["ok", "ok", "illegal note", "unexpected id", "duplicate ids", "illegal note", "malformed", "ok"]
 
-@query("SELECT * FROM (VALUES (0, 2::BIGINT, 'before', 'a', 3::BIGINT), (0, 1::BIGINT, 'after', '', NULL)) t(n, id, pos, angle, priority)")
-def selection_answers(spark, sf_dir):
-    x = spark.createDataFrame(list(enumerate(PICKS)), "n int, v string")
+
+@query(f"WITH {_MESSAGES} SELECT conv_id, turn, CASE k {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_NOTES))} END AS status FROM m")
+def notes_answer_status(spark, sf_dir):
+    t = F.concat(F.lit("N: "), F.translate(F.regexp_replace("t", "(?i)as you |like you,|you (might|may|probably)|dear reader|readers like", "-"), "⟦⟧", ""))
+
+    def said(*items) -> Column:
+        return F.to_json(F.struct(F.array(*(F.struct(F.lit(i).cast("long").alias("id"), n.alias("note")) for i, n in items)).alias("notes")))
+
+    k = F.col("k")
+    answer = (
+        F.when(k == 0, said((1, t), (2, t))).when(k == 1, said((2, t))).when(k == 2, said((1, F.concat(t, F.lit(" ⟦1⟧"))))).when(k == 3, said((9, t))).when(k == 4, said((1, t), (1, t)))
+        .when(k == 5, said((1, F.concat(F.lit("This passage "), t)))).when(k == 6, F.lit("nothing")).otherwise(F.to_json(F.struct(F.array().cast("array<struct<id:bigint,note:string>>").alias("notes"))))
+    )
     sent = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
-    return validation.parsed_selections(x, ["n"], payload.json_object(F.col("v")), sent)
+    return _messages(spark, sf_dir).select("conv_id", "turn", validation.notes_status(answer, sent).alias("status"))
 
 
-VERDICTS = [
-    '[{"id":1,"action":"keep"},{"id":1,"action":"drop"},{"id":2,"action":"edit","note":" New fact. "}]', '[{"id":7,"action":"keep"}]', '[{"id":1,"action":"edit"}]', '[{"id":1,"action":"burn"}]', "x",
-]
+@query(
+    f"""WITH {_MESSAGES}, bad AS (SELECT conv_id FROM m GROUP BY conv_id HAVING conv_id % 7 = 0)
+SELECT conv_id, turn AS id, CASE WHEN turn % 3 = 0 THEN 'before' ELSE 'after' END AS pos, {_trim('t')} AS angle, CASE WHEN turn % 2 = 0 THEN k END AS priority FROM m WHERE conv_id NOT IN (SELECT conv_id FROM bad)"""
+)
+def selection_answers(spark, sf_dir):
+    """A window a conversation, whose answer picks every turn, repeats the picks, and in every seventh conversation names one that wasn't sent."""
+    turn = F.col("turn").cast("long")
+    pick = F.struct(turn.alias("id"), F.when(turn % 3 == 0, "before").when(turn % 3 == 1, "after").alias("pos"), F.concat(F.lit(" "), F.col("t"), F.lit(" ")).alias("angle"), F.when(turn % 2 == 0, F.col("k")).alias("priority"))
+    w = _messages(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(pick)).alias("p"), F.sort_array(F.collect_list(turn)).alias("sent"))
+    again = F.transform("p", lambda e: F.struct(e["id"].alias("id"), F.lit("after").alias("pos"), F.lit("again").alias("angle"), F.lit(0).cast("long").alias("priority")))
+    wrong = F.array(F.struct(F.lit(-1).cast("long").alias("id"), F.lit("after").alias("pos"), F.lit("").alias("angle"), F.lit(0).cast("long").alias("priority")))
+    found = F.concat(F.col("p"), again, F.when(F.col("conv_id") % 7 == 0, wrong).otherwise(F.slice(wrong, 1, 0)))
+    x = w.select("conv_id", "sent", F.concat(F.lit("So: "), F.to_json(F.struct(found.alias("selections"))), F.lit(" done")).alias("v"))
+    return validation.parsed_selections(x, ["conv_id"], payload.json_object(F.col("v")), F.col("sent"))
 
 
-@query("SELECT * FROM (VALUES (0, 1::BIGINT, 'drop', NULL), (0, 2::BIGINT, 'edit', ' New fact. ')) t(n, id, action, note)")
+@query(
+    f"""WITH {_MESSAGES} SELECT conv_id, turn AS id, CASE WHEN turn % 3 = 0 THEN 'edit' WHEN turn % 3 = 1 THEN 'drop' ELSE 'keep' END AS action, CASE WHEN turn % 3 = 0 THEN 'Edited ' || CAST(length(t) AS VARCHAR) END AS note
+FROM m WHERE conv_id % 7 NOT IN (0, 1)"""
+)
 def review_answers(spark, sf_dir):
-    x = spark.createDataFrame(list(enumerate(VERDICTS)), "n int, v string")
-    sent = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
-    return validation.parsed_reviews(x, ["n"], payload.any_array(F.col("v")), sent)
+    """A window a conversation: the last verdict on a turn counts; an unknown action or an edit without a text voids the window."""
+    turn = F.col("turn").cast("long")
+    last = F.struct(turn.alias("id"), F.when(turn % 3 == 0, "edit").when(turn % 3 == 1, "drop").otherwise("keep").alias("action"), F.when(turn % 3 == 0, F.concat(F.lit("Edited "), F.length("t").cast("string"))).alias("note"))
+    w = _messages(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(last)).alias("p"), F.sort_array(F.collect_list(turn)).alias("sent"))
+    fault = F.when(F.col("conv_id") % 7 == 0, F.lit("burn")).when(F.col("conv_id") % 7 == 1, F.lit("edit")).otherwise("keep")
+    first = F.transform("p", lambda e: F.struct(e["id"].alias("id"), fault.alias("action"), F.lit(None).cast("string").alias("note")))
+    x = w.select("conv_id", "sent", F.to_json(F.concat(first, F.col("p"))).alias("v"))
+    return validation.parsed_reviews(x, ["conv_id"], payload.any_array(F.col("v")), F.col("sent"))
 
 
-NAMES = ["約翰・史密斯", "約翰·D·洛克斐勒", "大衛．<span id=\"a\"/>佩雷爾", "a·b", "<i>約翰</i>・史密斯", "アニメ・マンガ", "<a title=\"約·翰\">x</a>"]
+@query(
+    f"""WITH {_MESSAGES} SELECT conv_id, turn, CASE WHEN k % 4 IN (0, 1) THEN true ELSE false END AS busy FROM m"""
+)
+def busy_errors(spark, sf_dir):
+    t, k = F.regexp_replace("t", "429|_kit", "-"), F.col("k") % 4
+    error = F.when(k == 0, F.concat(F.lit("HTTP 429 Too Many Requests: "), t)).when(k == 1, F.concat(t, F.lit(" type=_kit_busy"))).when(k == 2, F.concat(t, F.lit(" 429 too many"))).otherwise(t)
+    return _messages(spark, sf_dir).select("conv_id", "turn", T.is_busy(error).alias("busy"))
 
 
 @query(
-    """SELECT * FROM (VALUES (0, '約翰‧史密斯'), (1, '約翰‧D‧洛克斐勒'), (2, '大衛‧<span id="a"/>佩雷爾'), (3, 'a·b'), (4, '<i>約翰</i>‧史密斯'), (5, 'アニメ・マンガ'), (6, '<a title="約·翰">x</a>')) t(n, text)"""
+    """WITH x AS (SELECT doc_id, coalesce(lang, '') AS a, source AS b FROM documents)
+SELECT doc_id, 'themes: ' || CASE WHEN a = '' THEN '(none)' ELSE a || '; ' || b END || E'\\nfocus: (none)\\nskip: ' || b || E'\\nthreads: (none)\\nguidance: ' || CASE WHEN a = '' THEN '(none)' ELSE a END AS block FROM x"""
+)
+def plan_blocks(spark, sf_dir):
+    a, none = F.coalesce("lang", F.lit("")), F.array().cast("array<string>")
+    themes = F.when(a == "", none).otherwise(F.array(a, "source"))
+    plan = F.struct(themes.alias("themes"), none.alias("focus"), F.array("source").alias("skip"), F.lit(None).cast("array<string>").alias("threads"), a.alias("guidance"))
+    return table(spark, sf_dir, "documents").select("doc_id", plan.alias("plan")).select("doc_id", annotate.plan_block(F.col("plan")).alias("block"))
+
+
+@query(
+    f"""WITH {_LINES}, d AS (SELECT doc_id, block_index, regexp_replace(source, '[・·．]', '-', 'g') AS s FROM seg),
+v AS (SELECT doc_id, block_index, replace(s, ' ', '·') AS s FROM d)
+SELECT doc_id, block_index, '約' || CASE WHEN regexp_matches(s, '^[A-Za-z]') THEN '‧' ELSE '・' END || s || '<i>' || CASE WHEN regexp_matches(s, '[A-Za-z]$') THEN '‧' ELSE '．' END || '</i>翰‧翰' AS text FROM v"""
 )
 def name_separators(spark, sf_dir):
-    x = spark.createDataFrame(list(enumerate(NAMES)), "n int, v string")
-    return x.select("n", T.name_separators(F.col("v"), F.lit("zh-Hant-TW")).alias("text"))
+    """Every line between Han names: dots between Latin words stay, those beside a Han character change, also past tags."""
+    s = F.replace(F.regexp_replace("source", "[・·．]", "-"), F.lit(" "), F.lit("·"))
+    v = F.concat(F.lit("約・"), s, F.lit("<i>．</i>翰·翰"))
+    return lines(spark, sf_dir).select("doc_id", "block_index", T.name_separators(v, F.lit("zh-Hant-TW")).alias("text"))
 
 
 # ---------------------------------------------------------------- progress
@@ -731,15 +851,16 @@ def usage_rollup(spark, sf_dir):
     return x.withColumn("failed_ids", F.when(F.size("failed_ids") > 0, ids))
 
 
-AMOUNTS = [0, 1, 59, 60, 999, 1000, 3599, 3600, 7384, 123456]
-
-
 @query(
-    """SELECT * FROM (VALUES (0, 'US$0.00', '0', '0s', '0 notes'), (1, 'under US$0.01', '1', '1s', '1 note'), (59, 'US$0.06', '59', '59s', '59 notes'), (60, 'US$0.06', '60', '1m', '60 notes'),
-(999, 'US$1.00', '999', '16m', '999 notes'), (1000, 'US$1.00', '1.0k', '16m', '1000 notes'), (3599, 'US$3.60', '3.6k', '59m', '3599 notes'), (3600, 'US$3.60', '3.6k', '1h00m', '3600 notes'),
-(7384, 'US$7.38', '7.4k', '2h03m', '7384 notes'), (123456, 'US$123.46', '123.5k', '34h17m', '123456 notes')) t(n, usd, count, took, notes)"""
+    """WITH d AS (SELECT doc_id, coalesce(n_chars, 0) * CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 97 END AS n FROM documents),
+k AS (SELECT doc_id, n, n - n % 100 AS h FROM d)
+SELECT doc_id, CASE WHEN n = 0 THEN 'US$0.00' WHEN n < 1 THEN 'under US$0.01' ELSE 'US$' || printf('%.2f', n / 100.0::DOUBLE) END AS usd,
+  CASE WHEN h >= 1000 THEN printf('%.1fk', h / 1000.0::DOUBLE) ELSE CAST(h AS VARCHAR) END AS count,
+  CASE WHEN n < 60 THEN CAST(n AS VARCHAR) || 's' WHEN n < 3600 THEN CAST(n // 60 AS VARCHAR) || 'm' ELSE CAST(n // 3600 AS VARCHAR) || 'h' || lpad(CAST(n % 3600 // 60 AS VARCHAR), 2, '0') || 'm' END AS took,
+  CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN ' note' ELSE ' notes' END AS notes FROM k"""
 )
 def amounts(spark, sf_dir):
-    x = spark.createDataFrame([(a,) for a in AMOUNTS], "n int")
+    factor = F.when(F.col("doc_id") % 10 == 0, 0).when(F.col("doc_id") % 3 == 0, 1).otherwise(97)
     n = F.col("n")
-    return x.select("n", cost.money(n / 1000.0).alias("usd"), cost.short_count(n).alias("count"), cost.duration(n).alias("took"), cost.count_of(n, "note").alias("notes"))
+    x = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce("n_chars", F.lit(0)) * factor).cast("long").alias("n"))
+    return x.select("doc_id", cost.money(n / 100.0).alias("usd"), cost.short_count(n - n % 100).alias("count"), cost.duration(n).alias("took"), cost.count_of(n, "note").alias("notes"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,5 +36,17 @@ def local_session(cpus: int = 8, shuffle: int = 8, memory: str = "8g") -> SparkS
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Set here only where a local session has none, as in tests; on a cluster a session without one raises ValueError."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="folioforge-scratch-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

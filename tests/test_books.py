@@ -57,7 +57,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["estimate", str(src), "--model", "gpt-4o-mini", "--notes"]) == 0
     assert json.loads(capsys.readouterr().out)["source_tokens"] == 4
     assert cli.main(["translate", str(src), "--to", "繁體中文", "--json"]) == 0
-    done = json.loads(capsys.readouterr().out)
+    *events, done = map(json.loads, capsys.readouterr().out.splitlines())
+    assert [e["event"] for e in events] == ["translating"] * 4 and events[-1]["done"] == events[-1]["of"] == 4
+    assert [tuple(r) for r in books.chapters(spark, f"{done['out']}.job").collect()] == [(0, "", "done")]
     assert done["out"].endswith("b.繁體中文.txt") and (tmp_path / "b.繁體中文.txt").read_text(encoding="utf-8") == "〈譯〉One.\n\n〈譯〉Two."
     assert cli.main(["annotate", str(src), "--note-presets", "terms,nope"]) == 0
     assert "nope" in capsys.readouterr().err

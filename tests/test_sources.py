@@ -55,9 +55,9 @@ def test_round_trip_of_anything(html):
 
 def test_rendering():
     doc = markup.parse("<body><p id='1'>a</p><p>b</p></body>")
-    assert markup.rendered(doc, {0: "A"}, {1: ("after", "N")}, False, "fr") == "<body><p id='1'>A</p><p>b</p>\n<div class=\"etc-note\" dir=\"auto\">〔註〕 N</div></body>"
+    assert markup.rendered(doc, {0: "A"}, {1: ("after", "N")}, False, "fr") == "<body><p id='1'>A</p><p>b</p>\n<div class=\"folio-note\" dir=\"auto\">〔註〕 N</div></body>"
     got = markup.rendered(doc, {0: "A"}, {0: ("before", "N")}, True, 'x"y', "fr")
-    assert got == "<body><div class=\"etc-note\" lang=\"fr\" dir=\"auto\">〔註〕 N</div>\n<p id='1'>a</p>\n<p class=\"etc-trans\" lang=\"x&quot;y\" dir=\"auto\">A</p><p>b</p></body>"
+    assert got == "<body><div class=\"folio-note\" lang=\"fr\" dir=\"auto\">〔註〕 N</div>\n<p id='1'>a</p>\n<p class=\"folio-translation\" lang=\"x&quot;y\" dir=\"auto\">A</p><p>b</p></body>"
 
 
 def test_depth_and_malformed():
@@ -79,7 +79,7 @@ def test_written_book():
     made = epub.write_book(b, {("OEBPS/c0.xhtml", 0): "Un", ("OEBPS/c1.xhtml", 0): "no"}, {}, True, "fr")
     z = zipfile.ZipFile(io.BytesIO(made))
     assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED and z.infolist()[1].compress_type == zipfile.ZIP_DEFLATED
-    assert "Un</p>" in z.read("OEBPS/c0.xhtml").decode() and "etc-trans{" in z.read("OEBPS/c0.xhtml").decode() and b"no" not in z.read("OEBPS/c1.xhtml")
+    assert "Un</p>" in z.read("OEBPS/c0.xhtml").decode() and "folio-translation {" in z.read("OEBPS/c0.xhtml").decode() and b"no" not in z.read("OEBPS/c1.xhtml")
     again = epub.parse_book(epub.write_book(b, {}, {}, False, "fr"))
     assert [(n, d) for n, d in again.entries] == b.entries
 
