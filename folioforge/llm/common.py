@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.session import shared_folder
+
 U64 = np.uint64
 
 
 # ---------------------------------------------------------------- scratch tables
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where a local session has none, as in tests; on a cluster a session without one raises ValueError."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="folioforge-scratch-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 #: Spark drops the shuffle files of a query when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -42,7 +29,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     operator may be reading it until then; one that a killed driver leaves is under folioforge/ in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/folioforge/{uuid.uuid4().hex}-{name}"
+    path = f"{shared_folder(spark)}/folioforge/{uuid.uuid4().hex}-{name}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -76,6 +63,12 @@ def texts_as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def own_names(keep: list[str], made: list[str]) -> None:
+    """Raise where a caller asks for columns to be passed on under names that the result needs."""
+    if clash := sorted(set(keep) & set(made)):
+        raise ValueError(f"columns to keep are named like columns that are made: {', '.join(clash)}; rename them first")
+
+
 # ---------------------------------------------------------------- hashing
 
 _C1, _C2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
@@ -318,20 +311,24 @@ def linked(
     buckets: of shared_buckets. attach adds to rows of task, grp, lo, hi, mine, id the columns from which make_sets makes the sets.
 
     First round: each id meets the least ids of its buckets, in tasks of a leader and about most_items of its followers (most_size elements), all of
-    which are compared. That is enough for most groups of copies, and no task holds more, whatever the bucket's size. Second round: buckets whose members
-    are not all in one component yet. There the members outside the bucket's largest component (the rest) meet each other and that component, in pairs of
+    which are compared. Where a leader's followers are one task, all pairs of its buckets are; no task holds more, whatever the bucket's size. Second round: buckets of
+    leaders with more followers whose members are not all in one component yet. There the members outside the bucket's largest component (the rest) meet each other and that component, in pairs of
     blocks; those inside needn't meet again. Nothing is compared that shares no bucket but by being in one task, so a chain of unlike members costs what
     its buckets cost, and a bucket's work grows with its size times the number of members that are apart.
     """
     blocks = lambda n, z: F.greatest(F.ceil(n / most_items), F.ceil(z / most_size)).cast("int")
     follow = buckets.where("id <> lead").select(F.col("lead").alias("grp"), "id", "size").distinct()
     x = materialise(_dealt(follow, blocks(F.col("n"), F.col("z"))).select("grp", "block", "id"), "followers")
+    large = materialise(x.where("block > 0").select(F.col("grp").alias("lead")).distinct(), "large")
     x = x.unionByName(x.select("grp", "block", F.col("grp").alias("id")).distinct())
     own = F.col("block").alias
     first = x.select(F.xxhash64("grp", "block").alias("task"), "grp", own("lo"), own("hi"), own("mine"), "id")
     links = materialise(verified_links(attach(first), make_sets, percent), "links")
     done = components(links)
-    y = buckets.select(F.col("key").alias("grp"), "id", "size").join(done.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if large.isEmpty():
+        return done
+    y = group_join(buckets, large, "lead", "left_semi")
+    y = y.select(F.col("key").alias("grp"), "id", "size").join(done.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     y = materialise(y, "labels")
     mixed = y.groupBy("grp").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("grp")
     y = materialise(group_join(y, mixed, "grp"), "mixed")
@@ -352,4 +349,4 @@ def linked(
     return components(links.unionByName(verified_links(attach(second), make_sets, percent)))
 
 
-__all__ = ["WordIds", "components", "discard", "group_stream", "linked", "materialise", "mix64", "scratch_dir", "shared_buckets", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]
+__all__ = ["WordIds", "components", "discard", "group_join", "group_stream", "linked", "materialise", "mix64", "own_names", "shared_buckets", "shingle_hashes", "slices", "spanning_links", "texts_as_bytes", "verified_links"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import U64, WordIds, linked, materialise, mix64, shared_buckets, shingle_hashes, slices, texts_as_bytes
+from folioforge.llm.common import U64, WordIds, group_join, linked, materialise, mix64, shared_buckets, shingle_hashes, slices, texts_as_bytes
 
 ROWS, BANDS = 6, 40
 PERMUTATIONS = ROWS * BANDS // 2
@@ -117,13 +117,13 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     classes = materialise(classes.agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
     buckets = materialise(shared_buckets(classes.select(F.explode("bands").alias("key"), "id", "size")), "buckets")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = materialise(texts.join(buckets.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = materialise(group_join(texts, buckets.select("id").distinct(), "id", "left_semi"), "texts")
 
     def make_sets(t: pa.Table) -> list[np.ndarray]:
         ids = WordIds()
         return [shingle_set(x, ids, shingle) for x in texts_as_bytes(t.column("text"))]
 
-    label = classes.join(linked(buckets, lambda tasks: tasks.join(texts, "id"), make_sets, percent), F.col("id") == F.col("node"), "left")
+    label = classes.join(linked(buckets, lambda tasks: tasks.join(texts.hint("merge"), "id"), make_sets, percent), F.col("id") == F.col("node"), "left")
     label = label.select("a", "b", F.coalesce("component", "id").alias("label"), "copies", "id").where("copies > 1 OR label <> id").select("a", "b", "label")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     out = found.select("doc_id", "n_shingles", "a", "b").join(label, ["a", "b"], "left").select("doc_id", "n_shingles", own.alias("component_id"))

@@ -9,7 +9,7 @@ from folioforge.llm import common
 from folioforge.llm import minhash as op
 from folioforge.llm.common import U64, WordIds, components, group_stream, spanning_links
 from folioforge.llm.queries import op10_minhash
-from folioforge.session import table
+from folioforge.session import shared_folder, table
 
 
 def shingles(text, k):
@@ -94,7 +94,7 @@ def test_chain_of_unlike_members_costs_what_its_buckets_cost(spark, monkeypatch)
     unpacked = lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")]
     monkeypatch.setattr(common, "MOST_SENT", 10)  # by the shuffle, too
     assert common.linked(common.shared_buckets(keys), attach, unpacked, 80, most_items=16).count() == 0
-    assert len(seen) == 2 and max(seen) <= 4 * 399
+    assert len(seen) == 1 and max(seen) <= 4 * 399
 
 
 def test_buckets_with_the_same_members_are_one(spark):
@@ -114,7 +114,7 @@ def test_scratch_folder_is_never_local_on_a_cluster():
         sparkContext = Context()
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.scratch_dir(Session())
+        shared_folder(Session())
 
 
 def test_signature_values_agree_as_often_as_the_sets():
