@@ -5,13 +5,14 @@ more. For passages that begin or end inside a paragraph there is an exact search
 
 Paragraphs:
 1. Paragraphs with equal words are one class. Classes' five-word shingle sets are banded by min-max hashing: BANDS bands of ROWS values. A pair at
-   Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9998, wherever its changed words stand.
+   Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9992, wherever its changed words stand.
 2. Classes that share a band are joined, and Jaccard similarity of 0.8 or more is confirmed on full shingle sets (common.linked). Components of the links
    are clusters. A cluster counts where it has members in two documents.
 
 Passages:
 3. Texts are cut by content: an anchor is a place whose 3-gram hash is the least of SPAN 3-grams in a row, and a piece is the PIECE words from there, so
-   any PASSAGE words in a row hold a whole piece. Pieces that stand in one document alone are dropped by a count before anything else is looked at.
+   any PASSAGE words in a row hold a whole piece. Pieces that stand in one document alone are dropped by a count before anything else is looked at. Of
+   documents with the same words the first one alone is cut: the others go whole, as the paragraph that each of them is.
 4. Of the other documents, all windows of PASSAGE words that hold a piece which is shared are hashed and counted. Windows of two documents are shared passages, every one of them and nothing else.
 
 Decision: a paragraph, or a window, is kept in the document with the smallest doc_id of its cluster, or of its own, and is to be removed from the
@@ -35,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import U64, WordIds, linked, materialise, mix64, shared_buckets, shingle_hashes, slices, texts_as_bytes
+from folioforge.llm.common import MOST_SENT, U64, WordIds, discard, group_join, linked, materialise, mix64, shared_buckets, shingle_hashes, slices, texts_as_bytes
 from folioforge.llm.minhash import MinMax
 
 #: Words of a passage; of a piece, which any passage holds; 3-grams among which an anchor is the least.
 GRAM, PIECE, PASSAGE = 3, 16, 51
 SPAN = PASSAGE - PIECE + 1
 SHINGLE, PERCENT = 5, 80
-ROWS, BANDS = 3, 12
+ROWS, BANDS = 3, 10
 #: Words from which lines and blocks are paragraphs, unless a caller says otherwise. Shorter lines (headings, licence notices, set phrases) recur in texts that share nothing else.
 LEAST = 20
 LEFT = 12
@@ -202,7 +203,7 @@ def at_once(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
 
 
 def document_units(documents: DataFrame, least: int) -> DataFrame:
-    """doc_id, pieces (hashes, each once), paragraphs (first word, n words, start, end, h: the class, bands: where the class stands first in the text)."""
+    """doc_id, h (of all its words), pieces (hashes, each once), paragraphs (first word, n words, start, end, h: the class, bands: where the class stands first in the text)."""
     kinds = {"first": pa.int32(), "n": pa.int32(), "start": pa.int32(), "end": pa.int32(), "h": pa.int64(), "bands": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,20 +222,25 @@ def document_units(documents: DataFrame, least: int) -> DataFrame:
             columns = [pa.array(c, k) for c, k in zip((place[0], n, *place[1:], h), list(kinds.values())[:-1], strict=True)]
             struct = pa.StructArray.from_arrays([*columns, bands], list(kinds))
             second = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(docs) + 1)), pa.int32()), struct)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), first, second], ["doc_id", "pieces", "paragraphs"])
+            begin = np.searchsorted(t.doc, np.arange(len(docs) + 1))
+            whole = pa.array([class_hash(t.words[a:z]) for a, z in zip(begin, begin[1:], strict=False)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), whole, first, second], ["doc_id", "h", "pieces", "paragraphs"])
 
     ok = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ok.mapInArrow(run, "doc_id long, pieces array<long>, paragraphs array<struct<first:int,n:int,start:int,end:int,h:long,bands:array<long>>>")
+    return ok.mapInArrow(run, "doc_id long, h long, pieces array<long>, paragraphs array<struct<first:int,n:int,start:int,end:int,h:long,bands:array<long>>>")
 
 
 def looked_up(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """What is needed of the texts of some documents, in one pass over them. wanted: doc_id, h, first, n; n is null for a piece.
 
     A row a class: id, shingles (packed 64-bit hashes of the paragraph of n words from first). A row a stretch of words each PASSAGE of which hold a wanted
-    piece: doc_id, first, windows (the hash of the PASSAGE words from each), starts and ends (code points, of its words).
+    piece: doc_id, first, windows (the hash of the PASSAGE words from each), starts and ends of its words (code points, each less the one before).
     """
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "n")).alias("wanted"))  # no more than a document has
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    by_doc = materialise(by_doc, "wanted")
+    if by_doc.count() <= MOST_SENT:  # a long a row: other texts needn't be dealt
+        texts = texts.join(F.broadcast(by_doc.select("doc_id")), "doc_id", "left_semi")
     kinds = {"id": pa.int64(), "shingles": pa.binary(), "doc_id": pa.int64(), "first": pa.int32()}
     kinds |= {"windows": pa.list_(pa.int64()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())}
 
@@ -266,7 +272,7 @@ def looked_up(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                         if old:
                             span = slice(old[0], old[1] + PASSAGE)
                             zero = t.chars[t.begin[i]]
-                            add(doc_id=docs[i], first=old[0] - lo, windows=windows[old[0] : old[1] + 1], starts=t.chars[t.starts[span]] - zero, ends=t.chars[t.ends[span]] - zero)
+                            add(doc_id=docs[i], first=old[0] - lo, windows=windows[old[0] : old[1] + 1], starts=np.diff(t.chars[t.starts[span]], prepend=zero), ends=np.diff(t.chars[t.ends[span]], prepend=zero))
                         old = None
                     if a <= z < 1 << 62:
                         old = (old[0], max(old[1], z)) if old else (a, z)
@@ -349,6 +355,7 @@ def passages(made: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 doc, first, hits = (b.column(c)[i].as_py() for c in ("doc_id", "first", "hits"))
                 windows, starts, ends = (b.column(c)[i].values.to_numpy() for c in ("windows", "starts", "ends"))
+                starts, ends = np.cumsum(starts), np.cumsum(ends)
                 for keep in (False, True):
                     at = np.unique(np.array([x["k"] for x in hits if x["keep"] == keep and x["k"] < len(windows)], dtype=np.int64))
                     for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
@@ -366,24 +373,29 @@ def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     of_paragraphs = units.select("doc_id", F.inline("paragraphs"))
     classes = of_paragraphs.where("size(bands) > 0").groupBy("h")  # a row a document that has the class
     classes = classes.agg(F.min(F.struct("doc_id", "first")).alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialise(classes.select("h", "rep.*", "last", "n", "bands"), "classes")
+    banded = materialise(classes.select("h", "rep.*", "last", "n", "bands"), "banded")
     size = (F.col("n") - SHINGLE + 1).cast("long")
-    buckets = materialise(shared_buckets(classes.select(F.explode("bands").alias("key"), F.col("h").alias("id"), size.alias("size"))), "buckets")
-    near = classes.join(buckets.select(F.col("id").alias("h")).distinct(), "h").select("doc_id", "h", "first", "n")
+    buckets = materialise(shared_buckets(banded.select(F.explode("bands").alias("key"), F.col("h").alias("id"), size.alias("size"))), "buckets")
+    # what is needed further on, without the bands
+    classes, places = materialise(banded.drop("bands"), "classes"), materialise(of_paragraphs.drop("bands"), "places")
+    discard(banded)
 
-    of_pieces = units.select("doc_id", F.explode("pieces").alias("h"))
+    near = classes.join(buckets.select(F.col("id").alias("h")).distinct(), "h").select("doc_id", "h", "first", "n")
+    firsts = units.select("doc_id", "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    of_pieces = group_join(units.select("doc_id", "pieces"), firsts, "doc_id", "left_semi").select("doc_id", F.explode("pieces").alias("h"))
     shared = of_pieces.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h")
     cut = of_pieces.join(shared, "h").select("doc_id", "h", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("n"))
     made = materialise(looked_up(documents, near.unionByName(cut)), "stretches")
+    discard(units)
 
     sets = made.where("id IS NOT NULL").select("id", "shingles")
     unpacked = lambda t: [np.frombuffer(x.as_buffer(), dtype=U64) for x in t.column("shingles")]
-    found = linked(buckets, lambda tasks: tasks.join(sets, "id"), unpacked, PERCENT, most_items=2048)
+    found = linked(buckets, lambda tasks: tasks.join(sets.hint("merge"), "id"), unpacked, PERCENT, most_items=2048)
     label = classes.join(found, F.col("h") == F.col("node"), "left").where("component IS NOT NULL OR doc_id <> last")
     label = label.select("h", F.coalesce("component", "h").alias("cluster_id"), F.col("doc_id").alias("from"), F.col("last").alias("to"))
     label = materialise(label, "clusters")
     shared = label.groupBy("cluster_id").agg(F.min("from").alias("owner"), F.max("to").alias("z")).where("owner <> z").select("cluster_id", "owner")
     label = label.join(shared, "cluster_id").select("h", "cluster_id", "owner")
-    whole = of_paragraphs.join(label, "h").select("doc_id", "first", "n", "start", "end", "cluster_id", (F.col("owner") == F.col("doc_id")).alias("keep"))
-    every = whole.unionByName(passages(made))
+    whole = places.join(label, "h").select("doc_id", "first", "n", "start", "end", "cluster_id", (F.col("owner") == F.col("doc_id")).alias("keep"))
+    every = whole.unionByName(materialise(passages(made), "passages"))
     return by_document(every, ["first", "n", "start", "end", "cluster_id", "keep"], decided, "doc_id long, start int, end int, cluster_id long, keep boolean")
