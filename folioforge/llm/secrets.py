@@ -3,10 +3,14 @@
 Novelty of a candidate is the number of bytes that it adds to a frame compressed with a raw dictionary of common identifiers
 followed by the surrounding text, without the candidate's own copies there. Prose and identifiers add few bytes; a key adds nearly
 one byte a character, or the entropy of its alphabet where it is long enough for its characters to be coded. The base patterns (assign, access, hex) are reported whatever their novelty. Other token-like strings
-with a word such as `key` or `bearer` around them, on either side, are reported, as kind `novel`, when they are incompressible but for their alphabet. Token-like
+with a word such as `key` or `bearer` around them, on either side, are reported, as kind `novel`, when they are incompressible but for their alphabet, and
+spelt as no identifier is: zstandard finds no four letters of a new identifier in its dictionary either, so a model of the pairs of characters in the same
+dictionary has to be surprised, too, by SURPRISE bits a character or more. Hexadecimal strings need no such surprise; UUIDs aren't secrets. Token-like
 strings that follow one another with nothing but line ends, quotes and the like between (the lines of a PEM block) carry the context on.
 
-Defined cases: null and empty texts have no findings. Texts are read whole, whatever their length. Repeated rows are each returned.
+Defined cases: null and empty texts have no findings. Texts are read whole, whatever their length. Repeated rows are each returned, with their doc_id whatever it is.
+Ties: findings that start together stand in the order of kinds. An empty table gives an empty result. Columns of `keep` named like one that is made
+(`findings`, or `text` where it is redacted) raise ValueError; others are passed on or not read.
 Offsets are code points of the original text, ends exclusive, of the whole match.
 """
 
@@ -16,13 +20,14 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from folioforge.llm.common import slices, texts_as_bytes
+from folioforge.llm.common import own_names, slices, texts_as_bytes
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Characters of surrounding text on each side that prime the dictionary.
@@ -33,6 +38,8 @@ REACH = 256
 NOVEL, CODED = 0.75, 64
 #: The part of its alphabet's entropy from which a longer string is new.
 RANDOM = 0.95
+#: Bits a character from which a string is spelt as no identifier is.
+SURPRISE = 5.25
 
 # Words that make a context sensitive, and the common identifiers that prime the dictionary.
 SENSITIVE = ("auth", "bearer", "credential", "key", "passphrase", "passwd", "password", "private", "pwd", "secret", "signature", "token")
@@ -125,13 +132,40 @@ def least_new(t: str) -> float:
     return min(NOVEL, RANDOM * math.log2(letters) / 8) * len(body)
 
 
+_UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+_HEXADECIMAL = re.compile(r"[0-9A-Fa-f]+")
+_NEW_WORD = re.compile("(?<=[a-z0-9])(?=[A-Z])")
+
+
+def spelling(t: str) -> str:
+    """Lower-case letters, 0 for digits, _ for the rest, ^ where a word begins with a capital."""
+    t = re.sub("[0-9]", "0", _NEW_WORD.sub("^", t).lower())
+    return re.sub("[^a-z0^]", "_", t)
+
+
+class Pairs:
+    """How surprising a string's pairs of characters are after those of the dictionary."""
+
+    SIGNS, LEAST = 29, 0.3
+
+    def __init__(self, text: str):
+        s = "_" + spelling(text)
+        self.pairs, self.firsts = Counter(zip(s, s[1:], strict=False)), Counter(s[:-1])
+
+    def bits(self, t: str) -> float:
+        """A character, on average; the sign of a new word is no character. Which digit a digit is isn't in the pairs, so it is a choice of ten besides."""
+        s = "_" + spelling(t)
+        digits = math.log2(10) * s.count("0")
+        return (digits + sum(math.log2((self.firsts[a] + self.LEAST * self.SIGNS) / (self.pairs[a, b] + self.LEAST)) for a, b in zip(s, s[1:], strict=False))) / len(t)
+
+
 class Novelty:
     """Marginal compressed bytes of a candidate, given identifiers and the text around it."""
 
     def __init__(self, level: int = 3):
         import zstandard
 
-        self.zstd, self.level, self.prime = zstandard, level, IDENTIFIERS.encode()
+        self.zstd, self.level, self.prime, self.pairs = zstandard, level, IDENTIFIERS.encode(), Pairs(IDENTIFIERS)
         self.params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def of(self, text: str, start: int, end: int) -> float:
@@ -145,6 +179,11 @@ class Novelty:
         return float(len(squeeze.compress(body)) - len(squeeze.compress(b"")))
 
 
+    def new(self, t: str, marginal: float) -> bool:
+        """Whether a candidate of so many marginal bytes is reported."""
+        return marginal >= least_new(t) and not _UUID.fullmatch(t) and (_HEXADECIMAL.fullmatch(t) is not None or self.pairs.bits(t) >= SURPRISE)
+
+
 def scan(text: str | None, raw: bytes | None, novelty: Novelty) -> list[tuple[int, int, int, float]]:
     """(start, number of the kind, end, marginal bytes) by start, then kind."""
     if not text:
@@ -154,7 +193,7 @@ def scan(text: str | None, raw: bytes | None, novelty: Novelty) -> list[tuple[in
     out = [(s, k, e, novelty.of(text, s, e)) for s, k, e in base]
     for s, e in other_candidates(text, low, base):
         n = novelty.of(text, s, e)
-        if n >= least_new(text[s:e]):
+        if novelty.new(text[s:e], n):
             out.append((s, 3, e, n))
     return sorted(out)
 
@@ -169,6 +208,7 @@ def findings(documents: DataFrame, keep: list[str] | None = None, redact: str |
     redact: where given, `text` is also returned, with every finding replaced by it (overlapping findings as one).
     """
     keep = ["doc_id"] if keep is None else keep
+    own_names(keep, ["findings"])
     df = documents.select(*dict.fromkeys([*keep, "text"]))
     out = [c for c in keep if c != "text" or redact is None] + (["text"] if redact is not None else [])
 

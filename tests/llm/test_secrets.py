@@ -117,3 +117,59 @@ def test_long_keys_of_small_alphabets_are_new():
                 t = token(rng, alphabet, n)
                 assert novel(f"the private one is {t} here") == [(19, 19 + n)], (len(alphabet), n)
     assert novel("the private one is " + "ABCDEF0123456789" * 20) == []
+
+
+ALPHABETS = {
+    "hexadecimal": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/",
+}
+
+
+def identifiers():
+    """Names of the standard library, with digits at the end."""
+    import asyncio, email, http.client, logging.handlers, os, socket, ssl, subprocess, unittest.mock, urllib.request, zipfile  # noqa: E401
+
+    names = {f"{m.__name__}.{a}".replace(".", "/") if n % 5 == 0 else a for m in (asyncio, email, http.client, logging.handlers, os, socket, ssl, subprocess, unittest.mock, urllib.request, zipfile) for n, a in enumerate(dir(m))}
+    return [x + end for n, x in enumerate(sorted(names)) if len(x) >= 14 for end in [("_v2", "2024", "/v1", "_2")[n % 4]]]
+
+
+def test_precision_and_recall_of_novelty():
+    rng, novelty = random.Random(4), op.Novelty()
+
+    def told(x, word):
+        text = f"the {word} is: {x} , as it was set"
+        return any(k == 3 for _, k, _, _ in op.scan(text, text.encode(), novelty))
+
+    plain = identifiers()
+    assert len(plain) > 200 and sum(told(x, "key") for x in plain) <= 0.08 * len(plain)
+    for x in ("customer_registration_identifier_v2", "monthly_active_users_2024_report", "/usr/local/share/applications/python3", "123e4567-e89b-12d3-a456-426614174000"):
+        assert not told(x, "private") and not told(x, "key")
+    for name, signs in ALPHABETS.items():
+        for n, least in ((20, 0.98), (32, 0.99), (64, 0.99)):
+            keys = ["".join(rng.choice(signs) for _ in range(n)) for _ in range(200)]
+            keys = [k for k in keys if any(c.isdigit() for c in k) and any(c.isalpha() for c in k)]
+            assert sum(told(k, "bearer") for k in keys) >= least * len(keys), (name, n)
+
+
+def test_marginal_bytes_against_a_compressor_of_their_own():
+    import zstandard
+
+    novelty = op.Novelty()
+    text = "x" * 300 + " the key is Zk3vQ9xP0aLm7TtRw2Yc " + "and more " * 40
+    a = text.index("Zk3")
+    b = a + 20
+    around = (op.IDENTIFIERS + text[:a][-256:] + " " + text[b:][:256]).encode()
+    primed = zstandard.ZstdCompressionDict(around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    sizes = [len(zstandard.ZstdCompressor(dict_data=primed, compression_params=params).compress(x)) for x in (text[a:b].encode(), b"")]
+    assert novelty.of(text, a, b) == sizes[0] - sizes[1]
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    import pytest
+
+    t = 'token = "' + "ab12" * 8 + '"'
+    got = op.findings(docs(spark, [t, t, t], ids=[5, 5, None])).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: str(r.doc_id))] == [5, 5, None] and all(len(r.findings) == 2 for r in got)
+    with pytest.raises(ValueError, match="findings"):
+        op.findings(clashing(docs(spark, [t])), ["doc_id", "findings"])
