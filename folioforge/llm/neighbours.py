@@ -8,8 +8,10 @@ and a heap a query keeps the k nearest of the block. What the blocks have kept,
 
 Every candidate is screened by its bound, so recall is 1; nothing is fitted and nothing grows with the corpus but the number of blocks.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do those whose squared length
-over- or underflows. Vectors of different length aren't compared. Ties go to the smaller vec_id. Rows that repeat a vec_id are each a
+Of equal vectors in a block those with the k + 1 least ids are looked at: the others can't be among the k nearest of any query.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; very large and very small ones do, however long they are. An
+empty table, or one without a query, gives no rows. Other columns aren't read, so their names may clash. Vectors of different length aren't compared. Ties go to the smaller vec_id. Rows that repeat a vec_id are each a
 candidate of other queries, and together one query (the first by its components). Rows with a null vec_id take no part.
 """
 
@@ -43,8 +45,23 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return q.astype(np.float32), scale, np.sqrt((near * near).sum(axis=1)) + slack, np.sqrt(((unit - near) ** 2).sum(axis=1)) + slack
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their squares neither over- nor underflow; cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def first_of_equals(ids: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` least ids of each vector: of equal vectors no others can be among the nearest, the query's own among them."""
+    order = np.argsort(ids, kind="stable")
+    _, kind = np.unique(np.ascontiguousarray(v[order]).view(np.dtype((np.void, v.shape[1] * v.itemsize))).ravel(), return_inverse=True)
+    by_kind = np.argsort(kind, kind="stable")  # ids still rise inside each
+    first = np.flatnonzero(np.r_[True, kind[by_kind][1:] != kind[by_kind][:-1]])
+    rank = np.arange(len(by_kind)) - np.repeat(first, np.diff(np.r_[first, len(by_kind)]))
+    return np.sort(order[by_kind[rank < most]])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each pair of rows, in double precision, summed component by component in their order."""
+    """Cosine of each pair of scaled rows, in double precision, summed component by component in their order."""
     dot, aa, bb = (np.zeros(len(a)) for _ in range(3))
     for k in range(a.shape[1]):
         dot += a[:, k] * b[:, k]
@@ -55,6 +72,8 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, candidate, cosine): the k nearest of each query in a block of candidates, itself left out."""
+    q, own = scaled(q), first_of_equals(c_ids, c, k + 1)
+    c_ids, c = c_ids[own], scaled(c[own])
     qn, qs, ql, qr = quantised(q)
     heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]  # worst first: (cosine, -id)
     for at in range(0, len(c_ids), TILE):
@@ -73,7 +92,11 @@ def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.
         i, j = np.nonzero((near + error >= np.maximum(bar if n == k else -np.inf, known)[:, None]) & (near > -np.inf))
         for part in range(0, len(i), 65536):
             a, b = i[part : part + 65536], j[part : part + 65536]
-            for x, y, s in zip(a.tolist(), ids[b].tolist(), cosine(q[a], tile[b]).tolist(), strict=True):
+            score = cosine(q[a], tile[b])
+            order = np.lexsort((ids[b], -score, a))  # of each query the k nearest go to its heap
+            first = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
+            best = order[np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)])) < k]
+            for x, y, s in zip(a[best].tolist(), ids[b[best]].tolist(), score[best].tolist(), strict=True):
                 h = heaps[x]
                 if len(h) < k:
                     heapq.heappush(h, (s, -y))
@@ -87,8 +110,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     x = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     x = x.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
-    square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
-    return x.where((square > 0) & (square < float("inf"))).withColumn("dim", F.size("v"))
+    return x.where(F.exists("v", lambda e: e != 0)).withColumn("dim", F.size("v"))
 
 
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -100,7 +122,7 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     c_blocks = max(-(-n // CANDIDATE_BLOCK), min(parts, -(-n // TILE)), 1)
     q_blocks = max(-(-m // QUERY_BLOCK), 1)
-    block = lambda salt, blocks: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
+    block = lambda salt, blocks: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(blocks)).cast("int")
     # a candidate goes to a task with each block of queries, a query to one with each block of candidates
     cand = x.withColumn("cb", block(1, c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     first = x.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))

@@ -80,3 +80,21 @@ def test_error_bound_holds():
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in table(spark, sf, "embeddings").collect()]
     same(rows_of(op6_neighbours(spark, sf)), brute(rows, 5, 50))
+
+
+def test_equal_vectors_and_extreme_lengths(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16)
+    rows = [(i, (base * s).tolist()) for i, s in enumerate([1.0] * 300 + [1e-200, 1e200, 5e-300])]
+    rows += [(1000 + i, rng.normal(size=16).tolist()) for i in range(50)] + [(7, base.tolist())] * 3
+    got = {}
+    for r in op.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), k=5, every=50).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0, 50, 100, 150, 200, 250, 300, 1000}
+    assert [v for _, v, _ in sorted(got[0])] == [1, 2, 3, 4, 5] and [v for _, v, _ in sorted(got[50])] == [0, 1, 2, 3, 4]
+    assert all(abs(s - 1) < 1e-9 for _, _, s in got[300]) and len(got[1000]) == 5
+
+
+def test_first_of_equals():
+    ids, v = np.array([9, 3, 5, 1, 7, 2]), np.array([[1.0, 2], [1, 2], [1, 2], [0, 1], [1, 2], [0, 1]])
+    assert ids[op.first_of_equals(ids, v, 2)].tolist() == [3, 5, 1, 2]
