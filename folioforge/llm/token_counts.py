@@ -6,7 +6,8 @@ it - is an exclusive prefix scan over block summaries, made in two levels: insid
 even a file with a third of all tokens has no step that takes all its blocks in one task.
 
 Defined cases: a document of no tokens counts 0. Tokens after a file's last end id are a last document with ended = false. A
-file without end ids is one such document; an empty file has none. In `token_blocks`, a null text is a document of no tokens.
+file without end ids is one such document; an empty file has none, as has an empty table. In `token_blocks`, a null or empty text is a document of no tokens, a null doc_id is
+passed on, repeated rows are documents of their own, and a text of any length is cut into as many blocks as it needs. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -66,21 +67,63 @@ def token_blocks(documents: DataFrame, tokenizer: str | None = None, end_id: int
 def read_token_files(spark: SparkSession, path: str, width: int = 4, block: int = BLOCK) -> DataFrame:
     """The same rows (doc_ids null) from flat files of ids of `width` bytes under a path; a file is named by the hash of its path.
 
-    Files are read whole by Spark's binaryFile source, one a task, so they are bounded by what that reads (2 GB).
+    Files of any size: their lengths are listed, each block is a row, and a task reads the byte ranges of its blocks alone. Files in a store that pyarrow
+    doesn't open (`opened`) are read whole by Spark's binaryFile source, one a task, which takes 2 GB at most and raises beyond.
     """
-    kind = f"<u{width}"
+    found = spark.read.format("binaryFile").load(path)
+    first = found.select("path").first()
+    if first and opened(first.path) is None:
+        return found.select(F.xxhash64("path").alias("file"), "content").mapInArrow(_whole(width, block), _BLOCKS)
+    size = width * block
+    ranges = found.select("path", "length").where("length > 0").select("path", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")).alias("block"))
+    # neighbouring blocks of a file stay together, and a large file goes to many tasks
+    ranges = ranges.repartitionByRange("path", "block").sortWithinPartitions("path", "block")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = source = None
+        for b in batches:
+            for path, length, k, file in zip(*(b.column(c).to_pylist() for c in ("path", "length", "block", "file")), strict=True):
+                if path != name:
+                    if source:
+                        source.close()
+                    name, source = path, opened(path)
+                source.seek(k * size)
+                raw = source.read(min(size, length - k * size))
+                yield _block(file, k, raw, width)
+        if source:
+            source.close()
+
+    return ranges.select("path", "length", "block", F.xxhash64("path").alias("file")).mapInArrow(run, _BLOCKS)
+
+
+def opened(path: str):
+    """A file that can be read from any place; None for a store that only Spark's readers know."""
+    from pyarrow import fs
+
+    try:
+        store, inside = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+    return store.open_input_file(inside)
+
+
+def _block(file: int, k: int, raw: bytes, width: int) -> pa.RecordBatch:
+    if len(raw) % width:
+        raise ValueError(f"a token file's length is no multiple of {width} bytes")
+    ids = np.frombuffer(raw, dtype=f"<u{width}").astype("<u4").tobytes()
+    columns = [pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([ids], pa.binary()), pa.array([None], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["file", "block", "ids", "doc_ids"])
+
+
+def _whole(width: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, name in enumerate(b.column("file").to_pylist()):
-                raw = np.frombuffer(b.column("content")[i].as_buffer(), dtype=np.uint8)
+                raw = memoryview(b.column("content")[i].as_buffer())
                 for k, at in enumerate(range(0, len(raw), width * block)):
-                    ids = raw[at : at + width * block].view(kind).astype("<u4").tobytes()
-                    columns = [pa.array([name], pa.int64()), pa.array([k], pa.int64()), pa.array([ids], pa.binary()), pa.array([None], pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["file", "block", "ids", "doc_ids"])
+                    yield _block(name, k, raw[at : at + width * block], width)
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.xxhash64("path").alias("file"), "content").mapInArrow(run, _BLOCKS)
+    return run
 
 
 def scanned(blocks: DataFrame, end_id: int = END) -> DataFrame:

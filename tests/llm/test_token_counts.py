@@ -54,6 +54,25 @@ def test_flat_files(spark, tmp_path):
     assert sorted((r.document, r.start, r.tokens, r.ended) for r in got) == brute(ids, 0)
 
 
+def test_large_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    files = {f"f{i}.bin": rng.integers(0, 50, n).tolist() for i, n in enumerate((0, 1, 99, 100, 101, 5000))}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(np.array(ids, "<u4").tobytes())
+    want = sorted(r for ids in files.values() for r in brute(ids, 0))
+    read = lambda: op.read_token_files(spark, str(tmp_path), block=100)
+    assert read().count() == 1 + 1 + 1 + 2 + 50 and max(len(r.ids) for r in read().collect()) == 400
+    assert sorted((r.document, r.start, r.tokens, r.ended) for r in op.document_lengths(read(), end_id=0).collect()) == want
+    assert op.opened("viewfs://nowhere/x") is None
+    monkeypatch.setattr(op, "opened", lambda path: None)
+    assert sorted((r.document, r.start, r.tokens, r.ended) for r in op.document_lengths(read(), end_id=0).collect()) == want
+
+
+def test_null_ids_and_repeats(spark):
+    got = op.document_lengths(op.token_blocks(docs(spark, ["a b", "a b", "a b"], ids=[4, 4, None]))).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["4", "4", "None"] and len({(r.file, r.document) for r in got}) == 3
+
+
 def test_query(spark, sf):
     got = {r.doc_id: r.n_tokens for r in op2_token_counts(spark, sf).collect()}
     assert got == {r.doc_id: n_tokens(r.text) for r in table(spark, sf, "documents").collect()}
