@@ -7,7 +7,9 @@ pruned before any Dice is taken. Bigrams of all templates are looked for in one
 that shares none costs no more. A stretch begins and ends at a shared bigram; the first that reaches t is trimmed to its best
 Dice, and the search goes on after it. Where stretches of several templates overlap, the one with the larger Dice is reported (ties: more bigrams, then the name).
 
-Defined cases: null, empty and one-word texts match nothing. Texts are read whole. Repeated rows are each scanned. Offsets are code points of the original.
+Defined cases: null, empty and one-word texts match nothing, and an empty table gives no rows. Texts are read whole: of a text of any length each shared bigram is looked at
+once for each template before any Dice is taken. Repeated rows are each scanned, with their doc_id whatever it is. Columns of `keep` named like one that is made raise ValueError; others are
+passed on or not read. Offsets are code points of the original.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from folioforge.llm.common import U64, WordIds, mix64, slices, texts_as_bytes
+from folioforge.llm.common import U64, WordIds, mix64, own_names, slices, texts_as_bytes
 from folioforge.llm.decontamination import normalised_words, original_spans
 
 THRESHOLD = 0.8
@@ -48,6 +51,11 @@ NAMES = {
     "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"],
+    "EPL-2.0": ["Eclipse Public License, version 2.0"],
+    "CC0-1.0": ["Creative Commons Zero v1.0 Universal License"],
 }
 SHORT_NAMES = {"CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-ND-4.0": "CC BY-ND 4.0", "CC-BY-NC-SA-4.0": "CC BY-NC-SA 4.0"}
 
@@ -77,6 +85,50 @@ PURPOSE. See the GNU General Public License for more details. You should have re
 program. If not, see https://www.gnu.org/licenses/.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in
+the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this
+program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public
+License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public
+License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented
+as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare
+derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The
+copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative
+works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE
+AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY,
+WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
 conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
 disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
@@ -144,9 +196,8 @@ class Templates:
         return sorted(taken, key=lambda m: m[2])
 
     def stretches(self, t: int, own: np.ndarray, grams: np.ndarray) -> list[tuple[float, int, int, int]]:
-        enough = np.searchsorted(own, own + self.most[t]) - np.arange(len(own)) >= self.least[t]
         out, free = [], 0
-        for s in np.flatnonzero(enough).tolist():
+        for s in self.starts(t, own, grams):
             if s < free:
                 continue
             dice, e = self.best(t, own, grams, s)
@@ -158,6 +209,24 @@ class Templates:
             free = e + 1
         return out
 
+    def starts(self, t: int, own: np.ndarray, grams: np.ndarray) -> list[int]:
+        """Shared bigrams from which a stretch of the largest size holds as many of the template's as one must, each as often as the template has it: one pass with two ends."""
+        bag, least, most = self.bags[t], self.least[t], self.most[t]
+        values, places = grams[own].tolist(), own.tolist()
+        held: Counter = Counter()
+        shared, z, out = 0, 0, []
+        for s, x in enumerate(values):
+            while z < len(places) and places[z] < places[s] + most:
+                v = values[z]
+                held[v] += 1
+                shared += held[v] <= bag[v]
+                z += 1
+            if shared >= least:
+                out.append(s)
+            shared -= held[x] <= bag[x]
+            held[x] -= 1
+        return out
+
     def best(self, t: int, own: np.ndarray, grams: np.ndarray, s: int) -> tuple[float, int]:
         """The largest Dice of a stretch from the s-th shared bigram, and its end; the shortest such."""
         bag, size, start = self.bags[t], self.sizes[t], int(own[s])
@@ -175,17 +244,23 @@ class Templates:
         return dice, end
 
 
+def from_folder(folder: str) -> tuple[tuple[str, str], ...]:
+    """(licence, text) of the files of a folder, each named like its licence: full texts of the long licences, which aren't kept here."""
+    return tuple((p.name.removesuffix(".txt"), p.read_text(encoding="utf-8", errors="replace")) for p in sorted(Path(folder).iterdir()) if p.is_file() and not p.is_symlink())
+
+
 @cache
-def built(threshold: float) -> Templates:
-    return Templates(templates(), threshold)
+def built(threshold: float, more: tuple[tuple[str, str], ...] = ()) -> Templates:
+    return Templates(templates() + list(more), threshold)
 
 
-def licences(documents: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns, licence, dice, start, end: one row a stretch of text that matches a template. No shuffle."""
+def licences(documents: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """The kept columns, licence, dice, start, end: one row a stretch of text that matches a template. No shuffle. more: (licence, text) besides the own ones, as of from_folder."""
     keep = ["doc_id"] if keep is None else keep
+    own_names(keep, ["licence", "dice", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, known = WordIds(), built(threshold)
+        ids, known = WordIds(), built(threshold, more)
         for b in slices(batches):
             rows, made = [], []
             for i, raw in enumerate(texts_as_bytes(b.column("text"))):

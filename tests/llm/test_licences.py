@@ -35,20 +35,68 @@ def test_texts(spark):
             assert abs(best - dice) < 1e-9 and dice >= op.THRESHOLD
 
 
-def test_no_stretch_is_missed_by_the_bounds():
-    """Every window of a text against every template, one by one."""
-    text = "foo bar Distributed under the BSD 3-Clause License. baz This program is licensed under the ISC License and so on under the MIT License"
-    words = normalised_words(text.encode())
-    whole = set()
-    for name, t in op.templates():
+def every_stretch(words, names):
+    """(name, first, last word, Dice) of all stretches of a text that match a template, one by one."""
+    out = []
+    for name, t in names:
         b = bag(t)
         for i in range(len(words)):
-            for j in range(i + 2, len(words) + 1):
+            for j in range(i + 2, min(len(words), i + 1 + int((2 - op.THRESHOLD) * b.total() / op.THRESHOLD)) + 1):
                 a = Counter(zip(words[i:j], words[i + 1 : j], strict=False))
-                if 2 * (a & b).total() / (a.total() + b.total()) >= op.THRESHOLD:
-                    whole.add(name)
-    got = {op.built(op.THRESHOLD).names[m[1]] for m in op.built(op.THRESHOLD).matches(op.bigrams(op.WordIds().of(words)))}
-    assert got <= whole and {"BSD-3-Clause", "ISC"} <= got
+                if (dice := 2 * (a & b).total() / (a.total() + b.total())) >= op.THRESHOLD:
+                    out.append((name, i, j - 1, dice))
+    return out
+
+
+def test_against_all_stretches():
+    """Whatever is reported matches, and every stretch that matches meets one that is reported and is no worse than the best that it meets."""
+    text = "foo bar Distributed under the BSD 3-Clause License. baz This program is licensed under the ISC License and so on under the MIT License, the the of the license. Licensed under CC BY-ND 4.0 x released under the Mozilla Public License v2"
+    words = normalised_words(text.encode())
+    whole = every_stretch(words, op.templates())
+    known = op.built(op.THRESHOLD)
+    got = [(known.names[t], a, z + 1, dice) for dice, t, a, z in known.matches(op.bigrams(op.WordIds().of(words)))]
+    assert {"BSD-3-Clause", "ISC", "CC-BY-ND-4.0"} <= {g[0] for g in got}
+    for name, a, z, dice in got:
+        assert any(w[0] == name and (w[1], w[2]) == (a, z) and abs(w[3] - dice) < 1e-9 for w in whole)
+    for _, a, z, dice in whole:
+        meets = [g for g in got if g[1] < z and a < g[2]]
+        assert meets and max(g[3] for g in meets) >= dice - 1e-9
+
+
+def test_starts_are_those_of_a_plain_count():
+    import random
+
+    rng = random.Random(3)
+    known = op.built(op.THRESHOLD)
+    words = [rng.choice(["under", "the", "license", "licensed", "mit", "of", "x"]).encode() for _ in range(400)]
+    grams = op.bigrams(op.WordIds().of(words))
+    for t in range(0, len(known.bags), 7):
+        own = op.np.array([i for i, g in enumerate(grams.tolist()) if g in known.bags[t]], dtype=int)
+        want = [s for s, p in enumerate(own.tolist()) if (Counter(grams[[q for q in own.tolist() if p <= q < p + known.most[t]]].tolist()) & known.bags[t]).total() >= known.least[t]]
+        assert known.starts(t, own, grams) == want
+
+
+def test_family_headers_are_told_apart(spark):
+    names = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Unlicense", "Zlib", "BSL-1.0"]
+    got = found(spark, [op.TEXTS[n] for n in names])
+    assert [[x[0] for x in got[i]] for i in range(len(names))] == [[n] for n in names]
+
+
+def test_full_texts_from_a_folder(spark, tmp_path):
+    text = " ".join(f"clause{i % 211} w{i}" for i in range(900))
+    (tmp_path / "Own-1.0.txt").write_text(text)
+    more = op.from_folder(str(tmp_path))
+    rows = op.licences(docs(spark, ["a b " + text + " c d", text.replace("w7", "v7")]), more=more).collect()
+    assert [(r.doc_id, r.licence) for r in sorted(rows)] == [(0, "Own-1.0"), (1, "Own-1.0")]
+
+
+def test_texts_of_common_words_are_quick():
+    import time
+
+    words = ("the license of the software is under the license and the license of the " * 2500).encode()
+    began = time.time()
+    op.built(op.THRESHOLD).matches(op.bigrams(op.WordIds().of(normalised_words(words))))
+    assert time.time() - began < 20
 
 
 def test_repeated_many_times_and_empty(spark):
