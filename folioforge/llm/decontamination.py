@@ -6,7 +6,8 @@ normalised text are mapped to words by the ranks of their spaces, and to offsets
 
 Defined cases: a null or wordless text has no words, n_hit 0, and isn't contaminated. Items without words, or null, make no window. Windows of
 an item without item_id hit, but the item isn't listed. Rows that repeat an item_id are one item. Repeated document rows are each
-returned. Other columns of either table aren't read, or are passed on where `keep` names them.
+returned, with their doc_id whatever it is. Texts are read whole, whatever their length. Ties: items are a set. An empty table of documents gives no rows, an
+empty benchmark no hits. Other columns of either table aren't read, or are passed on where `keep` names them; names that the result needs raise ValueError there.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from folioforge.llm.common import materialise, slices, texts_as_bytes
+from folioforge.llm.common import discard, materialise, own_names, slices, texts_as_bytes
 
 #: Upper bound of benchmark text for one automaton, in bytes; more text is scanned for in several passes.
 BLOCK_BYTES = 4_000_000
@@ -128,15 +129,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str] |
     than block_bytes is taken block by block, each pass adding its hits to the rows of the one before.
     """
     keep = ["doc_id"] if keep is None else keep
+    own_names(keep, [f.name for f in _RESULT + _STATE])
     df = documents.select(*dict.fromkeys([*keep, "text"]))
     own = list(df.schema.fields)
     n, blocks = benchmark_blocks(benchmark, block_bytes)
+    before = None
     for k, block in enumerate(blocks):
         shared = df.sparkSession.sparkContext.broadcast(block)
         last = k == n - 1
         made = [documents.schema[c] for c in keep] + _RESULT if last else own + _STATE
         df = df.mapInArrow(_pass(shared, window, keep, [f.name for f in own], last), StructType(made))
-        df = df if last else materialise(df, "contamination")
+        if not last:
+            df = materialise(df, "contamination")
+            if before is not None:
+                discard(before)
+            before = df
     return df
 
 

@@ -11,7 +11,8 @@ Each partition is packed for itself, in one pass that holds one window of exampl
 2 * WINDOW examples in memory. Sequence ids are the partition's number and a count in it, so the input's partitions fix them.
 
 Defined cases: a null or empty text still has its end id, so it is one piece. Long texts are cut into as many pieces as they need.
-Repeated rows are packed each; a null doc_id is passed on. An empty table gives no pieces.
+Repeated rows are packed each; a doc_id of any type, or null, is passed on. Ties of the dot product: the example that came first. An empty table gives no pieces.
+Other columns aren't read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.window import Window as W
 
 from folioforge.llm.common import slices
 from folioforge.llm.tokens import ids_of, packed
@@ -170,6 +173,7 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
 
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -180,9 +184,7 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None, end_id:
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-            types = [pa.int64() if not isinstance(f.dataType, BinaryType) else pa.binary() for f in fields]
-            if isinstance(fields[0].dataType, IntegerType):
-                types[0] = pa.int32()
+            types = list(to_arrow_schema(StructType(fields)).types)
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.name for f in fields])
 
@@ -197,6 +199,25 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None, end_id:
     return documents.select("doc_id", "text").mapInArrow(run, StructType(fields))
 
 
+def instruction_examples(messages: DataFrame, tokenizer: str | None = None, answers: str = "assistant") -> DataFrame:
+    """example_id, tokens, loss_tokens: one example an answer. Its prompt is the message before it, if any; the answer's tokens and an end token bear loss.
+
+    example_id is conv_id * 2**20 + turn. Null texts are empty. Rows with null conv_id or turn, and other roles, are no examples. Rows that repeat a turn are each an answer.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = ids_of(tokenizer)
+        for b in slices(batches):
+            n = pa.array([len(encode.of(t)) // 4 for t in b.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), n], ["conv_id", "turn", "role", "n"])
+
+    x = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").selectExpr("CAST(conv_id AS BIGINT) conv_id", "CAST(turn AS BIGINT) turn", "role", "text")
+    x = x.mapInArrow(run, "conv_id long, turn long, role string, n long")
+    x = x.withColumn("before", F.coalesce(F.lag("n").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(0)))
+    own = F.col("n") + 1
+    return x.where(F.col("role") == answers).select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("example_id"), (F.col("before") + own).alias("tokens"), own.alias("loss_tokens"))
+
+
 def packed_examples(examples: DataFrame, limits: Limits = Limits(), cut: bool = False) -> DataFrame:
     """Instruction data: rows of example_id long, tokens long, loss_tokens long -> example_id, start, length, sequence_id, offset.
 

@@ -65,6 +65,12 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.packed_documents(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def instruct_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing of instruction data: each answer of a conversation after the turn before it, with loss on the answer alone, under limits that all bind."""
+    turns = op8.instruction_examples(table(spark, sf_dir, "conversations"))
+    return op8.packed_examples(turns, op8.Limits(tokens=2048, segments=24, loss=1024), cut=True)
+
+
 def op9_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.conversations(table(spark, sf_dir, "conversations"))
 
@@ -74,7 +80,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and "_" in k and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and "_" in k and callable(v)} | {"instruct_pack": instruct_pack}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,3 +69,12 @@ def test_query(spark, sf):
         g = got[r.doc_id]
         assert (g.n_words, g.n_hit, g.n_items, g.contaminated) == (n, h, len(ids), bad)
         assert g.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+def test_kept_columns_that_clash_are_refused(spark):
+    import pytest
+
+    items = spark.createDataFrame([("a", "x")], "item_id string, text string")
+    for name in ("items", "runs__", "n_hit"):
+        with pytest.raises(ValueError, match=name):
+            op.contamination(docs(spark, ["x"]).selectExpr("*", f"1 AS {name}"), items, ["doc_id", name])

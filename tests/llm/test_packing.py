@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from folioforge.llm import packing as op
-from folioforge.llm.queries import op8_pack
+from folioforge.llm.queries import instruct_pack, op8_pack
 from folioforge.llm.tokens import Ids
 from folioforge.session import table
 
@@ -95,3 +95,33 @@ def test_examples(spark):
     df = spark.createDataFrame([(i, 100 + i, 50) for i in range(50)] + [(99, 0, 0), (98, None, None)], "example_id long, tokens long, loss_tokens long")
     got = op.packed_examples(df).collect()
     assert sorted(r.example_id for r in got) == list(range(50)) and all(r.start == 0 for r in got)
+
+
+def test_instruction_data_fills_three_limits(spark):
+    """Limits hold in every sequence, each example's tokens are placed once and in order, and loss-bearing ones are those of the answers."""
+    d = "/root/testdata/sf0.01"
+    limits = op.Limits(tokens=2048, segments=24, loss=1024)
+    turns = op.instruction_examples(table(spark, d, "conversations")).collect()
+    want = {r.example_id: (r.tokens, r.loss_tokens) for r in turns}
+    assert len(want) == len(turns) == table(spark, d, "conversations").where("role = 'assistant'").count() and any(t > n for t, n in want.values())
+    parts, sequences = {}, {}
+    for r in instruct_pack(spark, d).collect():
+        parts.setdefault(r.example_id, []).append((r.start, r.length))
+        prompt = want[r.example_id][0] - want[r.example_id][1]
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, max(0, r.start + r.length - max(r.start, prompt))))
+    assert {k: sum(n for _, n in v) for k, v in parts.items()} == {k: t for k, (t, _) in want.items()}
+    for v in parts.values():
+        at = 0
+        for start, n in sorted(v):
+            assert start == at
+            at += n
+    for v in sequences.values():
+        assert len(v) <= limits.segments and sum(n for _, n, _ in v) <= limits.tokens and sum(x for *_, x in v) <= limits.loss
+    loss, tokens = (sum(x) for x in zip(*[(x, n) for v in sequences.values() for _, n, x in v], strict=True))
+    ideal = max(loss / limits.loss, tokens / limits.tokens, len(want) / limits.segments)
+    assert len(sequences) <= 1.3 * ideal + 40
+
+
+def test_any_doc_id(spark):
+    df = docs(spark, ["a b", None]).selectExpr("concat('k', doc_id) doc_id", "text")
+    assert sorted(r.doc_id for r in op.packed_documents(df).collect()) == ["k0", "k1"]
