@@ -2,12 +2,17 @@
 
 Each stage takes all that the one before has kept and returns the five columns of documents; the last returns the pieces of training sequences.
 
-* language: documents that the classifier rejects (`und`: no text, or no letter in it) go.
+* language: documents that the classifier rejects (`und`: no text, or no letter in it) go; `lang` of the others becomes the predicted language. Where no
+  document is labelled there is no classifier; then documents with a letter stay, with the `lang` that they have.
 * near_duplicates: of each group of documents linked at 0.8 over five-word shingles the smallest doc_id stays. Of rows that
-  repeat a doc_id one stays. Rows with a null doc_id stay.
+  repeat a doc_id with the same text one stays; with different texts they all do. Rows with a null doc_id stay.
 * decontamination: documents with one word in twenty or more inside benchmark windows go.
 * secrets: every finding is replaced by a mark and n_chars is set anew; the documents stay.
 * packing: sequences of at most 2048 tokens, with the ids of every piece.
+
+Defined cases, of every stage: texts are read whole, whatever their length; null and empty texts are rejected by the first stage, and have no duplicates, no hits, no secrets and a piece of one end
+token in the others; rows that repeat a doc_id or have none are told apart but for the second stage's rule; an empty table gives an empty result; other columns are dropped, whatever their names.
+Ties: see the operators. doc_id must be integral.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontamination, language_id, minhash, packing, secrets
-from folioforge.llm.common import materialise
+from folioforge.llm.common import group_join, materialise
 from folioforge.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,15 +29,22 @@ MARK = "[secret]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.predictions(docs, COLUMNS).where(F.col("lang_pred") != language_id.UNKNOWN).select(COLUMNS)
+    model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    found = language_id.predictions(docs, COLUMNS, model=model).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType)).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
     gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    # rows without an id are told apart by their place, so that none of them counts as a repeat
-    rest = docs.withColumn("row__", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).join(gone, "doc_id", "left_anti")
-    return rest.dropDuplicates(["doc_id", "row__"]).select(COLUMNS)
+    rest = group_join(docs, gone, "doc_id", "left_anti")
+    again = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return rest
+    same = group_join(rest, again, "doc_id", "left_semi").withColumn("same__", F.sha2("text", 256)).dropDuplicates(["doc_id", "same__"])
+    return group_join(rest, again, "doc_id", "left_anti").unionByName(same.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
