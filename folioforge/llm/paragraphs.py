@@ -345,7 +345,8 @@ def passages(made: DataFrame) -> DataFrame:
     stretches = made.where("doc_id IS NOT NULL").select("doc_id", "first", "windows", "starts", "ends")
     each = stretches.select("doc_id", "first", F.posexplode("windows").alias("k", "w"))
     shared = each.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last").select("w", "owner")
-    hits = each.join(shared, "w").groupBy("doc_id", "first").agg(F.collect_list(F.struct("k", (F.col("owner") == F.col("doc_id")).alias("keep"))).alias("hits"))  # no more than the stretch has
+    # written, as the skew join splits a very common window only where both sides come from shuffles of the join's own
+    hits = each.join(materialise(shared, "windows").hint("merge"), "w").groupBy("doc_id", "first").agg(F.collect_list(F.struct("k", (F.col("owner") == F.col("doc_id")).alias("keep"))).alias("hits"))  # no more than the stretch has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.bool_()]
@@ -384,7 +385,7 @@ def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     firsts = units.select("doc_id", "h").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     of_pieces = group_join(units.select("doc_id", "pieces"), firsts, "doc_id", "left_semi").select("doc_id", F.explode("pieces").alias("h"))
     shared = of_pieces.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h")
-    cut = of_pieces.join(shared, "h").select("doc_id", "h", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("n"))
+    cut = of_pieces.join(materialise(shared, "shared").hint("merge"), "h").select("doc_id", "h", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("n"))
     made = materialise(looked_up(documents, near.unionByName(cut)), "stretches")
     discard(units)
 
