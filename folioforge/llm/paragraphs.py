@@ -5,7 +5,7 @@ more. For passages that begin or end inside a paragraph there is an exact search
 
 Paragraphs:
 1. Paragraphs with equal words are one class. Classes' five-word shingle sets are banded by min-max hashing: BANDS bands of ROWS values. A pair at
-   Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9992, wherever its changed words stand.
+   Jaccard 0.8 shares a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9998, wherever its changed words stand.
 2. Classes that share a band are joined, and Jaccard similarity of 0.8 or more is confirmed on full shingle sets (common.linked). Components of the links
    are clusters. A cluster counts where it has members in two documents.
 
@@ -43,7 +43,7 @@ from folioforge.llm.minhash import MinMax
 GRAM, PIECE, PASSAGE = 3, 16, 51
 SPAN = PASSAGE - PIECE + 1
 SHINGLE, PERCENT = 5, 80
-ROWS, BANDS = 3, 10
+ROWS, BANDS = 3, 12
 #: Words from which lines and blocks are paragraphs, unless a caller says otherwise. Shorter lines (headings, licence notices, set phrases) recur in texts that share nothing else.
 LEAST = 20
 LEFT = 12
