@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from folioforge.llm.common import discard, materialise, own_names, slices, texts_as_bytes
+from folioforge.llm.common import discard, kept, materialise, own_names, slices, texts_as_bytes
 
 #: Upper bound of benchmark text for one automaton, in bytes; more text is scanned for in several passes.
 BLOCK_BYTES = 4_000_000
@@ -147,16 +147,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str] |
     return df
 
 
-_BUILT: dict = {}
-
-
 def _built(shared, window: int):
     """One automaton per Python worker, not per task."""
-    key = (shared._path if hasattr(shared, "_path") else id(shared), window)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = automaton(shared.value, window)
-    return _BUILT[key]
+    return kept(("automaton", shared._path if hasattr(shared, "_path") else id(shared), window), lambda: automaton(shared.value, window))
 
 
 def _pass(shared, window: int, keep: list[str], own: list[str], last: bool):

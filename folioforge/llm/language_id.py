@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from folioforge.llm.common import discard, materialise, own_names, slices, texts_as_bytes
+from folioforge.llm.common import discard, materialise, own_names, release, slices, texts_as_bytes
 
 GRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -218,6 +218,7 @@ def predictions(documents: DataFrame, keep: list[str] | None = None, settings: S
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             lang, score = shared.value.predict(texts_as_bytes(b.column("text")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])

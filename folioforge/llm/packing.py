@@ -33,6 +33,8 @@ from folioforge.llm.tokens import ids_of, packed
 
 #: Examples that the heuristic chooses among.
 WINDOW = 64
+#: Pieces that leave a task at once: up to 8 KB each, and the worker and the JVM hold a copy each.
+PIECES = 1024
 
 
 @dataclass(frozen=True)
@@ -191,7 +193,7 @@ def packed_documents(documents: DataFrame, tokenizer: str | None = None, end_id:
         packer = Packer(place, limits)
         for x in examples(batches):
             packer.add(x)
-            if len(rows) >= 8192:
+            if len(rows) >= PIECES:
                 yield batch()
         packer.finish()
         yield batch()

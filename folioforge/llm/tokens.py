@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 import struct
 
+from folioforge.llm.common import kept
+
 NAME = "word_bpe_49k.json"
 
 #: Chunks for which lower-casing and normalisation are the same everywhere.
@@ -88,13 +90,6 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_LOADED: dict[tuple[str | None, int], Ids] = {}
-
-
 def ids_of(path: str | None = None, limit: int = 300_000) -> Ids:
-    """One per Python worker. limit: entries of each of its two caches, about 170 bytes an entry."""
-    key = (path, limit)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Ids(path, limit)
-    return _LOADED[key]
+    """One per Python worker, until another operator keeps something there. limit: entries of each of its two caches, about 170 bytes an entry."""
+    return kept(("ids", path, limit), lambda: Ids(path, limit))
